@@ -1,0 +1,6 @@
+"""All queries of the review engine, and DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
