@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .simhash import op8_simhash
+from .token_counts import op2_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
+    "op4_bpe": op4_bpe,
     "op8_simhash": op8_simhash,
 }
 SQL: dict[str, str] = {}
