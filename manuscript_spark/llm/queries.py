@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from . import warc
 from .bpe import op4_bpe
+from .pii import op3_pii
+from .quality import op7_quality
 from .simhash import op8_simhash
 from .token_counts import op2_token_counts
 from .toxicity import op1_toxicity
@@ -10,7 +13,10 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
+    "op5_warc": warc.op5_warc,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_warc": warc.SQL}
