@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import licences, warc
 from .bpe import op4_bpe
+from .mixing import op6_mixing
+from .neighbours import op9_neighbours
 from .pii import op3_pii
 from .quality import op7_quality
 from .simhash import op8_simhash
@@ -16,7 +18,10 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_warc": warc.op5_warc,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_neighbours": op9_neighbours,
+    "op10_licences": licences.op10_licences,
 }
-SQL: dict[str, str] = {"op5_warc": warc.SQL}
+SQL: dict[str, str] = {"op5_warc": warc.SQL, "op10_licences": licences.SQL}
