@@ -24,7 +24,7 @@ from .shared import documents, map_texts
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Words whose encodings a task remembers; then it forgets all of them.
-REMEMBER = 400_000
+REMEMBER = 150_000
 
 
 def _byte_signs() -> list[str]:
@@ -116,11 +116,14 @@ class WordBpe:
             out.extend((raw[4 * a : 4 * b], " ".join(tokens[a:b]).encode(), b - a) for a, b in zip(bounds, bounds[1:]))
         return out
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.fragments.clear()
+
     def _learn(self, missing: list[str]) -> None:
         """Encode words that are not remembered."""
         if len(self.words) > REMEMBER:
-            self.words.clear()
-            self.fragments.clear()
+            self.forget()
         cuts = self.cuts([w.encode("utf-8", "surrogatepass") for w in missing])
         plain = [i for i, c in enumerate(cuts) if len(c) == 1]
         for i, found in zip(plain, self._encode_fragments([cuts[i][0] for i in plain], True)):
@@ -190,6 +193,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows]),
             ]
 
+        work.close = enc.forget
         return work
 
     return map_texts(docs, make, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

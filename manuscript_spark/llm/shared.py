@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +48,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(work) -> None:
+    """At the end of a task: what it remembered is dropped, and its memory goes back to the system, as the
+    Python worker lives on for tasks of other stages."""
+    getattr(work, "close", lambda: None)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps the memory for later
+        pass
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], list[pa.Array]]],
@@ -73,6 +87,7 @@ def map_texts(
                 texts = [t or "" for t in part.column(n_keep).to_pylist()]
                 columns = [part.column(i) for i in range(n_keep)] + work(texts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
+        release(work)
 
     return df.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).mapInArrow(run, out)
 
@@ -91,5 +106,6 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bo
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 yield part.filter(pa.array(accept([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+        release(accept)
 
     return df.mapInArrow(run, df.schema)
