@@ -40,7 +40,7 @@ def budgets(leaves: Mapping[tuple, int], total: float, weights: Mapping[tuple, f
     """Tokens for each leaf (a path of names -> its tokens). weights: path of any node -> its weight
     among its siblings, one where it is missing. No leaf gets more than `epochs` times its tokens.
     Ties and order don't matter: all shares of a level are worked out together."""
-    capacity: dict[tuple, float] = {}
+    capacity: dict[tuple, float] = {(): 0.0}
     children: dict[tuple, list[tuple]] = {}
     for path, tokens in leaves.items():
         for k in range(len(path) + 1):
