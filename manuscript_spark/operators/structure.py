@@ -11,7 +11,7 @@ from ..functions.text import WS, B, E, flow, word_count
 
 # Abbreviations after which a full stop ends no sentence.
 _ABBR = r"(?i:(?<![A-Za-z0-9_])(?:et al|e\.g|i\.e|cf|vs|fig|eq|ref|no|vol|pp)|approx)\."
-SENTENCE = rf"(?s).*?(?:(?:[!?]|(?<!\d)\.(?<!{_ABBR}))[\"')\]]?[{WS}]++|(?<=\d)\.[\"')\]]?[{WS}]++(?!\d)|$)"
+SENTENCE = rf"(?s).*?(?:(?:[!?]|(?<!\d)\.(?<!{_ABBR}))[\"')\]]?[{WS}]++|(?<=\d)\.[\"')\]]?[{WS}]++(?!\d)|\z)"
 
 # Headings that open a section of a kind.
 HEADINGS = [
