@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .html import decoded
 
 PAGE_W, PAGE_H, MARGIN = 595.0, 842.0, 56.0
 #: Widest and tallest an image may be, in English metric units.
@@ -26,6 +25,22 @@ def xml(text: str) -> str:
     return re.sub(r"[^\t\n\r\x20-퟿-�\U00010000-\U0010FFFF]", "", text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+# Named entities of inline text.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+
+
+def decoded(text: str) -> str:
+    """Entities decoded once, from left to right; unknown ones stay as they are."""
+
+    def one(m: re.Match) -> str:
+        if m[1].startswith("#"):
+            code = int(m[1][2:], 16) if m[1][1] in "xX" else int(m[1][1:])
+            return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+        return NAMED.get(m[1], m[0])
+
+    return re.sub(r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-z]+);", one, text)
+
+
 def runs(inline: str) -> list[tuple[str, frozenset]]:
     """Inline markup as runs of text with styles; a close without an open is ignored, unknown tags lose their style."""
     out, open_ = [], []
