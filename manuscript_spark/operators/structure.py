@@ -67,11 +67,16 @@ def sections(docs: DataFrame) -> DataFrame:
     return s.select("doc_id", "sec_no", "s.heading", "s.kind", "s.start", "s.end")
 
 
+_BLANK = WS.replace(r"\t-\r", r"\t\x0B-\r")
+#: Up to the last line that is a heading of kind references; the group ends where that line begins.
+LAST_REFERENCES = rf"(?sd)\A(.*)(?m:^)[{_BLANK}]*(?:(?:[IVXLC]+\.|[A-H]\.|[0-9]+(?:\.[0-9]+)*\.?)[{_BLANK}]*)?(?i:{HEADINGS[1][1]})[:.{_BLANK}]*(?m:$)"
+
+
 def prose_end(text: str | Column) -> Column:
     """Where the last references section begins; the length of the text if there is none or it begins too early."""
     t = F.col(text) if isinstance(text, str) else text
-    last = F.array_max(F.transform(F.filter(section_array(t), lambda s: s["kind"] == "references"), lambda s: s["start"]))
-    return F.when(last >= F.length(t) * MIN_PROSE, last).otherwise(F.length(t))
+    found = F.struct(F.length(F.regexp_extract(t, LAST_REFERENCES, 0)).alias("whole"), F.length(F.regexp_extract(t, LAST_REFERENCES, 1)).alias("before"))
+    return bind(found, lambda x: F.when((x["whole"] > 0) & (x["before"] >= F.length(t) * MIN_PROSE), x["before"]).otherwise(F.length(t)))
 
 
 def sentence_array(text: str | Column) -> Column:
