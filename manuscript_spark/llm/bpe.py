@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from .shared import documents, map_texts
 #: White space as the tokenizer's normaliser sees it; everything else is letter, number or other.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: The same for lower-cased texts of ASCII alone.
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Words whose encodings a task remembers; then it forgets all of them.
 REMEMBER = 150_000
 
@@ -96,10 +99,11 @@ class WordBpe:
         at = np.flatnonzero(cut) + 1
         of = np.searchsorted(ends, at, side="right")
         starts = ends - np.fromiter(map(len, words), np.int64, len(words))
-        for i in np.unique(of).tolist():
-            w, lo, hi = words[i], np.searchsorted(of, i), np.searchsorted(of, i, side="right")
-            own = (at[lo:hi] - starts[i]).tolist()
-            out[i] = [w[x:y] for x, y in zip([0, *own], [*own, len(w)])]
+        held, first = np.unique(of, return_index=True)
+        own = (at - starts[of]).tolist()
+        for i, a, b in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(own)]):
+            w = words[i]
+            out[i] = [w[x:y] for x, y in zip([0, *own[a:b]], [*own[a:b], len(w)])]
         return out
 
     def _encode_fragments(self, fragments: list[bytes], final: bool) -> list[tuple[bytes, bytes, int]]:
@@ -144,7 +148,7 @@ class WordBpe:
             if piece in self.special:
                 out.append(piece)
             elif piece.isascii():
-                out.extend(SPLIT.findall(piece.lower()))
+                out.extend(ASCII_SPLIT.findall(piece.lower()))
             elif not self.unsettled.search(piece):
                 out.extend(SPLIT.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()))  # no final form of sigma
             else:  # code points that Unicode versions see differently: as the library's own version does
