@@ -9,9 +9,14 @@ chooses boundaries and kinds together. Its spans are added where they touch no b
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -94,106 +99,139 @@ CUES = {
 AT = re.compile(r"^[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:[\[({]\s?dot\s?[\])}]|\sdot\s|\.)\s?[A-Za-z0-9-]+)+$", re.I)
 SPLIT_IP = re.compile(r"^[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}$")
 SHAPES = {"3-3-4", "3-4", "1-3-3-4", "2-3-3-4", "2-2-2-2-2", "3-2-2-2", "4-7", "4-6", "5-6", "2-4-4", "2-2-2-2", "4-2-4", "2-3-2-2"}
-FEATURES = ["spelled", "split_ip", "luhn", "card_size", "fours", "phone_size", "phone_shape", "paren", "zeros", "cue", "glued", "date", "ends_digit", "bias", "tokens", "letters", "loose"]
+FEATURES = ["cue", "spelled", "split_ip", "luhn", "card_size", "fours", "phone_size", "phone_shape", "paren", "zeros", "glued", "date", "ends_digit", "bias", "tokens", "letters", "loose", "run"]
+CARDS = {"4-4-4-4", "4-6-5", "16", "4-4-4-4-3"}
+RUN, GAP = re.compile(r"[0-9]+"), re.compile(r"[^0-9]{3,}")
+AREA = re.compile(r"\+?[0-9]{0,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. ](?:[01]?[0-9])[-/. ]")
 
 
-def _segment(text: str, start: int, end: int, kind: str, before: str) -> list[float] | None:
-    """Whole-span features of text[start:end] as an entity of a kind; None if it can't be one."""
+def _segment(text: str, start: int, end: int) -> tuple[tuple[int, ...], list[float]]:
+    """Kinds that text[start:end] can be, and its features as a whole span (all but the cue, which differs by kind)."""
     s = text[start:end]
-    digits = NOT_DIGIT.sub("", s)
+    sizes = [len(g) for g in RUN.findall(s)]
+    n = sum(sizes)
     spelled, split_ip = bool(AT.match(s)), bool(SPLIT_IP.match(s))
-    if kind == "email" and not spelled or kind == "ip" and not split_ip or kind in ("card", "phone") and (len(digits) < 7 or len(digits) > 19 or any(c.isalpha() for c in s)):
-        return None
-    groups = "-".join(str(len(g)) for g in re.findall(r"[0-9]+", s))
-    glued = (start > 0 and text[start - 1] in LOCAL | {"/", "=", '"', "#"}) or (end < len(text) and (text[end].isalnum() or text[end : end + 1] in ("/", "-", "_") or text[end : end + 2].strip(".,")[:1].isdigit()))
-    return [
+    numeric = 7 <= n <= 19 and not any(c.isalpha() for c in s)
+    kinds = (0,) * spelled + (1,) * split_ip + (2, 3) * numeric
+    if not kinds:
+        return kinds, []
+    groups, card_size = "-".join(map(str, sizes)), 14 <= n <= 19
+    left, right = text[max(0, start - 4) : start].rstrip(), text[end : end + 4].lstrip()
+    glued = (start > 0 and (text[start - 1] in LOCAL or text[start - 1] in '/="#')) or (end < len(text) and (text[end].isalnum() or text[end] in "/-_" or text[end : end + 2].strip(".,")[:1].isdigit()))
+    return kinds, [
         spelled,
-        split_ip and all(map(small, re.findall(r"[0-9]+", s))),
-        14 <= len(digits) <= 19 and luhn(digits),
-        14 <= len(digits) <= 19,
-        groups in ("4-4-4-4", "4-6-5", "16", "4-4-4-4-3"),
-        10 <= len(digits) <= 13,
+        split_ip and all(map(small, RUN.findall(s))),
+        card_size and luhn(NOT_DIGIT.sub("", s)),
+        card_size,
+        groups in CARDS,
+        10 <= n <= 13,
         groups in SHAPES,
-        bool(re.match(r"^\+?[0-9]{0,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]", s)),
+        bool(AREA.match(s)),
         s.startswith("00"),
-        before.lower() in CUES[kind],
         glued,
-        bool(re.match(r"^(?:19|20)[0-9]{2}[-/. ](?:[01]?[0-9])[-/. ]", s)),
+        bool(DATE.match(s)),
         s[-1].isdigit() and (s[0].isdigit() or s[0] in "+("),
         1,
         0.1 * len(TOKEN.findall(s)),
-        sum(c.isalpha() for c in s) > 0,
-        groups.count("-") > 4 or bool(re.search(r"[^0-9]{3,}", s)) or "/" in s,
+        any(c.isalpha() for c in s),
+        len(sizes) > 5 or bool(GAP.search(s)) or "/" in s,
+        left[-1:].isdigit() or right[:1].isdigit(),
     ]
 
 
-def lattice(text: str) -> tuple[list[int], list[tuple[int, int, int]], np.ndarray]:
-    """Token boundaries; candidate segments (first token, token after, kind); their feature rows."""
-    bounds = [0]
-    tokens = TOKEN.findall(text)
-    for t in tokens:
-        bounds.append(bounds[-1] + len(t))
-    segments, rows = [], []
-    words = ["" for _ in range(len(tokens) + 1)]
+def segments(text: str, tokens: list[str], bounds: list[int]) -> Iterator[tuple[int, int, int, list[float]]]:
+    """Candidate segments (first token, token after, kind, features) by first token; at most BOUND tokens each."""
+    word = ""
     for i, t in enumerate(tokens):
-        words[i + 1] = t if t.isalpha() else words[i]
-    for i, t in enumerate(tokens):
-        if not (t[0].isdigit() or t in "+(" or t[0].isalpha()):
+        before, spelled = word, t[0].isalpha()
+        word = t if t.isalpha() else word
+        if not (t[0].isdigit() or t in "+(" or spelled):
             continue
+        digits = 0
         for j in range(i + 1, min(len(tokens), i + BOUND) + 1):
-            if tokens[j - 1].isspace():
+            last = tokens[j - 1]
+            digits += len(last) if last[0].isdigit() else 0
+            if not spelled and (digits > 19 or last[0].isalpha()):
+                break  # so is whatever continues it
+            if last.isspace() or not spelled and digits < 4:
                 continue
-            for k, kind in enumerate(KINDS):
-                if (kind == "email") != t[0].isalpha():
-                    continue
-                f = _segment(text, bounds[i], bounds[j], kind, words[i])
-                if f is not None:
-                    row = np.zeros((len(KINDS), len(FEATURES)))
-                    row[k] = f
-                    segments.append((i, j, k))
-                    rows.append(row.ravel())
-    return bounds, segments, np.array(rows).reshape(len(rows), len(KINDS) * len(FEATURES))
-
-
-def viterbi(n: int, segments: list[tuple[int, int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: entity segments with their scores, single outside tokens with none."""
-    ending: dict[int, list[int]] = {}
-    for x, (_, j, _) in enumerate(segments):
-        ending.setdefault(j, []).append(x)
-    best, back = [0.0] * (n + 1), [-1] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for x in ending.get(j, ()):
-            v = best[segments[x][0]] + scores[x]
-            if v > best[j]:
-                best[j], back[j] = v, x
+            kinds, f = _segment(text, bounds[i], bounds[j])
+            for k in kinds:
+                if spelled == (k == 0):
+                    yield i, j, k, [before.lower() in CUES[KINDS[k]], *f]
+
+
+def split(text: str) -> tuple[list[str], list[int]]:
+    """Tokens and their boundaries."""
+    tokens = TOKEN.findall(text)
+    return tokens, [0, *accumulate(map(len, tokens))]
+
+
+def lattice(text: str) -> tuple[list[int], list[tuple[int, int, int]], np.ndarray]:
+    """Token boundaries; candidate segments (first token, token after, kind); their feature rows, for a fit."""
+    tokens, bounds = split(text)
+    found = list(segments(text, tokens, bounds))
+    rows = np.zeros((len(found), len(KINDS), len(FEATURES)))
+    for x, (_, _, k, f) in enumerate(found):
+        rows[x, k] = f
+    return bounds, [x[:3] for x in found], rows.reshape(len(found), len(KINDS) * len(FEATURES))
+
+
+def decode(text: str, w: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best segmentation: entity segments with their scores, single outside
+    tokens with none. Segments are scored as they come, so memory grows with the tokens alone."""
+    tokens, bounds = split(text)
+    of_kind, n = w.reshape(len(KINDS), len(FEATURES)).tolist(), len(tokens)
+    best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+    done = 0
+
+    def settle(upto: int) -> None:
+        nonlocal done
+        while done < upto:
+            done += 1
+            if best[done - 1] >= best[done]:
+                best[done], back[done] = best[done - 1], None
+
+    for i, j, k, f in segments(text, tokens, bounds):
+        settle(i)
+        v = best[i] + sum(map(mul, of_kind[k], f))
+        if v > best[j]:
+            best[j], back[j] = v, (i, k)
+    settle(n)
     out, j = [], n
     while j:
-        if back[j] < 0:
+        if back[j] is None:
             j -= 1
         else:
-            out.append(segments[back[j]])
-            j = segments[back[j]][0]
+            i, k = back[j]
+            out.append((bounds[i], k, bounds[j]))
+            j = i
     return out[::-1]
 
 
-def _gradient(n: int, segments: list[tuple[int, int, int]], rows: np.ndarray, gold: set[tuple[int, int, int]], w: np.ndarray) -> np.ndarray:
-    """Of the log-likelihood of the gold segmentation: its features less their expectation (forward-backward)."""
-    s = rows @ w
-    starting: dict[int, list[int]] = {}
-    ending: dict[int, list[int]] = {}
-    for x, (i, j, _) in enumerate(segments):
-        starting.setdefault(i, []).append(x)
-        ending.setdefault(j, []).append(x)
-    a, b = np.zeros(n + 1), np.zeros(n + 1)
-    for j in range(1, n + 1):
-        a[j] = np.logaddexp.reduce([a[j - 1]] + [a[segments[x][0]] + s[x] for x in ending.get(j, ())])
-    for i in range(n - 1, -1, -1):
-        b[i] = np.logaddexp.reduce([b[i + 1]] + [b[segments[x][1]] + s[x] for x in starting.get(i, ())])
-    if not len(segments):
-        return np.zeros_like(w)
-    p = np.exp(np.array([a[i] + b[j] for i, j, _ in segments]) + s - a[n])
-    return (np.array([float(x in gold) for x in segments]) - p) @ rows
+def _gradient(n: int, segments: list[tuple[int, int, int]], rows: np.ndarray, gold: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of the gold segmentation: its features less their expectation (forward-backward;
+    passages are short, so plain products of clipped scores don't overflow). Segments come by first token."""
+    e = np.exp(np.clip(rows @ w, -30, 30))
+    a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    done = 0
+    for (i, j, _), v in zip(segments, e.tolist()):
+        while done < i:
+            done += 1
+            a[done] += a[done - 1]
+        a[j] += a[i] * v
+    while done < n:
+        done += 1
+        a[done] += a[done - 1]
+    done = n
+    for (i, j, _), v in zip(reversed(segments), e.tolist()[::-1]):
+        while done > i:
+            done -= 1
+            b[done] = b[done + 1]
+        b[i] += v * b[j]
+    p = np.array([a[i] * b[j] for i, j, _ in segments]) * e / a[n]
+    return (gold - p) @ rows
 
 
 def examples(seed: int = 7, n: int = 400) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -217,13 +255,17 @@ def examples(seed: int = 7, n: int = 400) -> list[tuple[str, list[tuple[str, int
     def number() -> str:
         return r.choice([f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{d(16)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(12)}", f"1{d(3)}-1{d(3)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", f"#{d(9)}", f"{d(8)}", f"{d(5)}.{d(6)}", f"{word()} at {word()}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f'"{d(13)}"', f"{d(9)}"])
 
+    def row() -> str:
+        sep, size = r.choice([" ", " ", "\t", "  ", "-", ". "]), r.randint(1, 6)
+        return sep.join(d(r.randint(max(1, size - r.randint(0, 3)), size)) for _ in range(r.randint(3, 14)))
+
     makers = {"email": email, "ip": lambda: r.choice(["[.]", "(.)"]).join(str(r.randint(0, 255)) for _ in range(4)), "card": lambda: card(r.choice([".", "/", "  ", ". "])), "phone": phone}
     out = []
     for i in range(n):
         kind = ("email", "ip", "card", "phone", "none", "none", "phone", "none")[i % 8]
         left, right = " ".join(word() for _ in range(3)), " ".join(word() for _ in range(3))
         cue = r.choice(sorted(CUES[kind])) if kind != "none" and r.random() < 0.4 else word()
-        body = makers[kind]() if kind != "none" else number()
+        body = makers[kind]() if kind != "none" else row() if i % 8 == 7 else number()
         text = f"{left} {cue}{r.choice([' ', ': '])}"
         out.append((f"{text}{body}{r.choice(['', '.', ','])} {right}", [(kind, len(text), len(text) + len(body))] if kind != "none" else []))
     return out
@@ -238,7 +280,7 @@ def weights() -> np.ndarray:
         at = {b: i for i, b in enumerate(bounds)}
         gold = {(at[s], at[e], KINDS.index(k)) for k, s, e in spans if s in at and e in at}
         if segments:
-            data.append((len(bounds) - 1, segments, rows, gold))
+            data.append((len(bounds) - 1, segments, rows, np.array([float(x in gold) for x in segments])))
     w, total = np.zeros(len(KINDS) * len(FEATURES)), np.zeros(len(KINDS) * len(FEATURES))
     for _ in range(120):
         g = sum(_gradient(*x, w) for x in data) - 0.01 * w
@@ -249,19 +291,23 @@ def weights() -> np.ndarray:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans that the CRF finds in the places where digits or spelled-out addresses lie outside the base spans."""
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def covered(start: int, end: int) -> bool:
+        at = bisect_left(starts, end) - 1
+        return at >= 0 and reach[at] > start
+
     places = []
     for m in [*DIGITS.finditer(text), *SPELLED.finditer(text)]:
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
+        if not covered(m.start(), m.end()):
             places.append((max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)))
-    out: list[tuple[int, int, int]] = []
-    places.sort()
-    for lo, hi in places:
-        bounds, segments, rows = lattice(text[lo:hi])
-        if segments:
-            for i, j, k in viterbi(len(bounds) - 1, segments, rows @ w):
-                s, e = lo + bounds[i], lo + bounds[j]
-                if not any(a < e and s < b for a, _, b in base) and not any(a < e and s < b for a, _, b in out):
-                    out.append((s, k, e))
+    out: list[tuple[int, int, int]] = []  # apart from each other, in order
+    for lo, hi in sorted(places):
+        for s, k, e in decode(text[lo:hi], w):
+            s, e = lo + s, lo + e
+            at = bisect_left(out, (s,))
+            if not covered(s, e) and (at == len(out) or out[at][0] >= e) and (not at or out[at - 1][2] <= s):
+                out.insert(at, (s, k, e))
     return out
 
 

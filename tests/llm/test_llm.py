@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -234,6 +235,29 @@ def test_crf_on_held_out_passages():
     assert right >= 0.85 * len(made)
 
 
+def test_decoding_by_brute_force():
+    w = pii.weights()
+    for text, _ in pii.examples(seed=5, n=80):
+        bounds, segments, rows = pii.lattice(text)
+        score = dict(zip(segments, (rows @ w).tolist()))
+
+        @functools.cache
+        def best(i, n=len(bounds) - 1):  # of the tokens from i on
+            return max([0.0 if i == n else best(i + 1)] + [score[x] + best(x[1]) for x in segments if x[0] == i])
+
+        at = {b: i for i, b in enumerate(bounds)}
+        got = [(at[s], at[e], k) for s, k, e in pii.decode(text, w)]
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:])) and math.isclose(sum(score[x] for x in got), best(0), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("sep", [" ", "\n", "\t", ", "])
+def test_rows_of_numbers_are_left_alone(sep):
+    w, r = pii.weights(), random.Random(6)
+    text = sep.join(str(r.randint(0, 99_999)) for _ in range(30_000))
+    base, spans = pii.spans_of(text, w)
+    assert len(spans) - len(base) <= 3
+
+
 def test_pii_edges_and_redaction(spark):
     rows = {r.doc_id: r for r in pii.find(docs(spark, EDGE)).collect()}
     assert (rows[7].n_email, rows[7].n_ip, rows[7].n_card, rows[7].n_phone) == (1, 1, 1, 1)
