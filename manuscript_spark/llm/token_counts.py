@@ -40,11 +40,12 @@ def counter(path: str):
 
 
 def stored(spark: SparkSession, where: str) -> DataFrame:
-    """The cached counts of a tokenizer version; empty if there are none yet."""
+    """The cached counts of a tokenizer version, one row a digest even where two runs at a time appended
+    the same one; empty if there are none yet."""
     p = spark._jvm.org.apache.hadoop.fs.Path(where)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(where)
+    return spark.read.schema(CACHE).parquet(where).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def count_misses(texts: DataFrame, path: str) -> DataFrame:

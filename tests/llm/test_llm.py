@@ -164,6 +164,10 @@ def test_token_counts_and_cache(spark, tmp_path, monkeypatch):
     assert n == len({t or "" for t in EDGE} | {"no id"})
     again = token_counts.count_tokens(d, path, str(tmp_path)).collect()
     assert sorted(map(str, again)) == sorted(map(str, first)) and spark.read.parquet(where).count() == n
+    written = spark.read.parquet(where).collect()
+    spark.createDataFrame(written, token_counts.CACHE).write.mode("append").parquet(where)  # as another run at the same time would
+    third = token_counts.count_tokens(d, path, str(tmp_path)).collect()
+    assert sorted(map(str, third)) == sorted(map(str, first))
     assert token_counts.count_tokens(none(spark), path, str(tmp_path / "e")).count() == 0
 
 
