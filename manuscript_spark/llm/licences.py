@@ -1,8 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
-Lines and sentences that hold a licence word are paragraphs to classify: sparse word unigrams and
-bigrams, hashed into buckets, go into a multinomial logistic regression over licence families and an
-unknown class. A family counts if its probability passes a threshold that is calibrated on held-out
+Sentences that hold a licence word, joined over the lines of a paragraph, and their single lines are
+paragraphs to classify: sparse word unigrams and bigrams, hashed into buckets, go into a multinomial
+logistic regression over licence families and an unknown class. A family counts if its probability passes a threshold that is calibrated on held-out
 passages, and if the paragraph agrees with one of the family's templates. The scan is one projection
 of DataFrame functions; only the fit, on made-up passages, runs in the driver.
 """
@@ -26,14 +26,18 @@ BUCKETS = 2048
 #: A paragraph is looked at if it holds one of these, in lower case.
 ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "warrant", "spdx", "creative commons", "cc0", "cc by")
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Ends of paragraphs: line ends, and sentence ends before a capital, a digit, a quote or a bracket.
-CUT = r'\n+|(?<=[.!?])[ \t]+(?=[\p{Lu}0-9"(])'
+#: What begins a line of a wrapped notice: marks of comments and lists.
+MARKS = r'[^\p{L}\p{N}"(\n]*'
+#: Ends of sentences: lines without letters and digits, and sentence ends before a capital, a digit, a quote or a bracket.
+CUT = rf'\n[^\p{{L}}\p{{N}}]*\n|(?<=[.!?])(?:[ \t]+|[ \t\r]*\n{MARKS})(?=[\p{{Lu}}0-9"(])'
+#: Line feeds within a sentence: after a word's hyphen, and others.
+HYPHEN, FEED = rf"(?<=\p{{L}}-)[ \t\r]*\n{MARKS}(?=\p{{L}})", rf"(?<![ \t\r])[ \t\r]*\n{MARKS}"
 
 # What notices of each family say.
 TEMPLATES: dict[str, list[str]] = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "mit": ["Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "This project is licensed under the terms of the MIT license.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
-    "bsd": ["Released under the BSD License.", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd": ["Released under the BSD License.", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "You should have received a copy of the GNU General Public License along with this program."],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.", "Released under the LGPL license"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "This program is licensed under the terms of the GNU Affero General Public License.", "Released under the AGPL license"],
@@ -120,7 +124,9 @@ def model() -> tuple[np.ndarray, float]:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licences, n_licences, n_unknown, paragraphs): for every whole text (null: empty) the
     families found, sorted and comma-joined; how many paragraphs gave one; how many held a licence word but gave none;
-    and the looked-at paragraphs with family (null: unknown) and probability. Repeated rows stay repeated; a text without
+    and the looked-at paragraphs with family (null: unknown) and probability. A sentence over several lines is looked at
+    joined and line by line: joined it counts if it gives a family that none of its lines gives, and then its lines of no
+    family, and pieces of its notice that look like another's, don't count; else its lines that hold a licence word do. Repeated rows stay repeated; a text without
     licence words has no paragraphs."""
     w, threshold = model()
     weights = F.from_json(F.lit(json.dumps(w[:-1].tolist())), "array<array<double>>")
@@ -156,14 +162,41 @@ def scan(docs: DataFrame) -> DataFrame:
         own = F.element_at(templates, F.least(x["class"], F.lit(known)))
         like = F.exists(own, lambda t: F.size(F.array_intersect(t, x["words"])) >= F.lit(0.75) * F.size(t))
         ok = (x["class"] <= known) & (x["p"] >= threshold) & like
-        return F.struct(x["text"].alias("text"), F.when(ok, F.element_at(names, F.least(x["class"], F.lit(known)))).alias("family"), x["p"].alias("p"))
+        return F.struct(x["text"].alias("text"), F.when(ok, F.element_at(names, F.least(x["class"], F.lit(known)))).alias("family"), x["p"].alias("p"), x["words"].alias("words"), own.alias("own"))
+
+    def joined(s: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(s, HYPHEN, ""), FEED, " ")
+
+    def candidates(s: Column) -> Column:
+        """The sentence, joined, and if it has several lines those of them that hold a licence word."""
+        return F.concat(F.array(joined(s)), F.when(F.contains(s, F.lit("\n")), F.filter(F.split(s, r"\n+"), anchored)).otherwise(F.array().cast("array<string>")))
+
+    def scored(texts: Column) -> Column:
+        tokens = F.transform(texts, lambda s: F.struct(s.alias("text"), F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)).alias("words")))
+        return F.transform(F.transform(F.transform(F.transform(tokens, grams), scores), chosen), confirmed)
+
+    def counted(x: Column) -> Column:
+        """Of a joined sentence and its lines those that count."""
+        whole, lines = F.element_at(x, 1), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))
+        again = F.exists(lines, lambda y: y["family"] == F.element_at(x, 1)["family"])
+        news = whole["family"].isNotNull() & ~F.coalesce(again, F.lit(False))
+
+        def stands(y: Column) -> Column:
+            """Not a piece of the joined sentence's notice: it holds a whole template, or words of its own."""
+            full = F.exists(y["own"], lambda t: F.size(F.array_except(t, y["words"])) == 0)
+            piece = F.exists(F.element_at(x, 1)["own"], lambda t: F.size(F.array_intersect(t, y["words"])) >= F.lit(0.75) * F.size(y["words"]))
+            return y["family"].isNotNull() & (full | ~piece)
+
+        return F.when(news, F.concat(F.array(whole), F.filter(lines, stands))).when(F.size(x) == 1, x).otherwise(lines)
+
+    def shown(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("text", "family", "p")])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = F.filter(F.split(text, CUT), anchored)
-    tokens = F.transform(parts, lambda s: F.struct(s.alias("text"), F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)).alias("words")))
-    found = F.transform(F.transform(F.transform(F.transform(tokens, grams), scores), chosen), confirmed)
+    sentences = F.filter(F.split(text, CUT), lambda s: anchored(joined(s)))
+    found = F.transform(F.flatten(F.transform(F.transform(F.transform(sentences, candidates), scored), counted)), shown)
     nothing = F.array().cast("array<struct<text:string,family:string,p:double>>")
-    out = docs.select("doc_id", F.when(anchored(text), found).otherwise(nothing).alias("paragraphs"))
+    out = docs.select("doc_id", F.when(anchored(joined(text)), found).otherwise(nothing).alias("paragraphs"))
     families = F.filter(F.transform("paragraphs", lambda x: x["family"]), lambda f: f.isNotNull())
     return out.select("doc_id", F.array_join(F.array_sort(F.array_distinct(families)), ",").alias("licences"), F.size(families).cast("long").alias("n_licences"), (F.size("paragraphs") - F.size(families)).cast("long").alias("n_unknown"), "paragraphs")
 

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -448,6 +449,32 @@ def test_licences_edges(spark):
     assert licences.scan(none(spark)).count() == 0
 
 
+WHOLE = {
+    "mit": ["MIT License", "Copyright (c) 2020 Jane Doe", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.'],
+    "bsd": ["Copyright (c) 2020, Jane Doe", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'],
+    "apache": ["Copyright 2020 Jane Doe", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want = [], {}
+    for family, parts in WHOLE.items():
+        text = "\n\n".join("\n".join(textwrap.wrap(p, 72)) for p in parts)
+        for form in (text, text.replace("\n", "\r\n"), text.replace("\n\n", "\n"), "\n".join(f"# {line}".rstrip() for line in text.split("\n"))):
+            want[len(rows)] = family
+            rows.append(form)
+    for family, templates in licences.TEMPLATES.items():
+        for width in (40, 60, 72):
+            for t in templates:
+                want[len(rows)] = family
+                rows.append("A title\n\n" + "\n".join(textwrap.wrap(t, width)) + "\n\nMore text.")
+    rows.append("Licensed under the MIT license\nLicensed under the Apache License, Version 2.0\nrights\nhere")
+    want[len(rows) - 1] = "apache,mit"
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert {i: r.licences for i, r in got.items()} == want
+    assert all(got[i].n_licences == 2 for i in (0, 1, 3, 8, 9, 11))  # the notices of MIT and Apache
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(name, same):
     same(queries.QUERIES[name], queries.SQL[name])
