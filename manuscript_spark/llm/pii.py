@@ -290,7 +290,8 @@ def weights() -> np.ndarray:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans that the CRF finds in the places where digits or spelled-out addresses lie outside the base spans."""
+    """Spans that the CRF finds in the places where digits or spelled-out addresses lie outside the base spans. A place
+    that base spans touch is cut at them, and each part is looked at by itself."""
     starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
 
     def covered(start: int, end: int) -> bool:
@@ -301,6 +302,17 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> l
     for m in [*DIGITS.finditer(text), *SPELLED.finditer(text)]:
         if not covered(m.start(), m.end()):
             places.append((max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)))
+        elif m.re is DIGITS:
+            # what the base spans leave of it, up to the base spans on both sides
+            at = bisect_left(reach, m.start() + 1)
+            lo = reach[at - 1] if at else 0
+            while lo < m.end():
+                while at < len(starts) and starts[at] <= lo:
+                    lo, at = max(lo, reach[at]), at + 1
+                hi = starts[at] if at < len(starts) else len(text)
+                for rest in DIGITS.finditer(text, max(lo, m.start()), min(hi, m.end())):
+                    places.append((max(lo, rest.start() - MARGIN), min(hi, rest.end() + MARGIN)))
+                lo = hi
     out: list[tuple[int, int, int]] = []  # apart from each other, in order
     for lo, hi in sorted(places):
         for s, k, e in decode(text[lo:hi], w):

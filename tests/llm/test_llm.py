@@ -263,6 +263,23 @@ def test_rows_of_numbers_are_left_alone(sep):
     assert len(spans) - len(base) <= 3
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("see 203.0.113.9 - 555-123-4567 for it", "see <IP> - <PHONE> for it"),
+        ("555-123-4567 / 203.0.113.9", "<PHONE> / <IP>"),
+        ("paid 4111 1111 1111 1111 / 555-123-4567 now", "paid <CARD> / <PHONE> now"),
+        ("555-123-4567 / 203.0.113.9 / 555-123-4568 / 203.0.113.8 / (555) 123-4569", "<PHONE> / <IP> / <PHONE> / <IP> / <PHONE>"),
+        ("203.0.113.9 / 12 / 203.0.113.8", "<IP> / 12 / <IP>"),
+    ],
+)
+def test_numbers_beside_base_spans(text, want):
+    w = pii.weights()
+    assert pii.redact(text, w) == want
+    base, spans = pii.spans_of(text, w)
+    assert set(base) <= set(spans) and all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_pii_edges_and_redaction(spark):
     rows = {r.doc_id: r for r in pii.find(docs(spark, EDGE)).collect()}
     assert (rows[7].n_email, rows[7].n_ip, rows[7].n_card, rows[7].n_phone) == (1, 1, 1, 1)
