@@ -86,8 +86,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
 #: Tokens in an entity, at most.
 BOUND = 23
-#: Where an entity beyond the base patterns may lie; elsewhere every segment is outside for certain.
+#: Where an entity beyond the base patterns may lie; elsewhere none is looked for.
 DIGITS = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[ ().\[\]/-]{0,3}[0-9]){6,}(?![0-9A-Za-z])")
+#: Parts of a split address: too few digits for the pattern before.
+PARTED = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}(?![0-9A-Za-z])")
 SPELLED = re.compile(r"[\[({]\s?at\s?[\])}]|\sat\s+[\w-]{1,40}\s+dot\s", re.I)
 MARGIN = 48
 CUES = {
@@ -268,6 +270,12 @@ def examples(seed: int = 7, n: int = 400) -> list[tuple[str, list[tuple[str, int
         body = makers[kind]() if kind != "none" else row() if i % 8 == 7 else number()
         text = f"{left} {cue}{r.choice([' ', ': '])}"
         out.append((f"{text}{body}{r.choice(['', '.', ','])} {right}", [(kind, len(text), len(text) + len(body))] if kind != "none" else []))
+    for i in range(n // 8):  # split addresses with short parts, and such with a part that is too large
+        parts = [r.randint(0, r.choice((9, 99, 255))) for _ in range(4)]
+        if i % 2:
+            parts[r.randint(0, 3)] = r.randint(256, 999)
+        text, body = f"{word()} {r.choice([*sorted(CUES['ip']), word()])} ", r.choice(["[.]", "(.)", " . "]).join(map(str, parts))
+        out.append((f"{text}{body}{r.choice(['', '.', ','])} {word()}", [] if i % 2 else [("ip", len(text), len(text) + len(body))]))
     return out
 
 
@@ -299,10 +307,10 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> l
         return at >= 0 and reach[at] > start
 
     places = []
-    for m in [*DIGITS.finditer(text), *SPELLED.finditer(text)]:
+    for m in [*DIGITS.finditer(text), *PARTED.finditer(text), *SPELLED.finditer(text)]:
         if not covered(m.start(), m.end()):
             places.append((max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)))
-        elif m.re is DIGITS:
+        elif m.re is not SPELLED:
             # what the base spans leave of it, up to the base spans on both sides
             at = bisect_left(reach, m.start() + 1)
             lo = reach[at - 1] if at else 0
@@ -310,11 +318,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> l
                 while at < len(starts) and starts[at] <= lo:
                     lo, at = max(lo, reach[at]), at + 1
                 hi = starts[at] if at < len(starts) else len(text)
-                for rest in DIGITS.finditer(text, max(lo, m.start()), min(hi, m.end())):
+                for rest in m.re.finditer(text, max(lo, m.start()), min(hi, m.end())):
                     places.append((max(lo, rest.start() - MARGIN), min(hi, rest.end() + MARGIN)))
                 lo = hi
     out: list[tuple[int, int, int]] = []  # apart from each other, in order
-    for lo, hi in sorted(places):
+    for lo, hi in sorted(set(places)):
         for s, k, e in decode(text[lo:hi], w):
             s, e = lo + s, lo + e
             at = bisect_left(out, (s,))

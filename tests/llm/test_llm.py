@@ -280,6 +280,16 @@ def test_numbers_beside_base_spans(text, want):
     assert set(base) <= set(spans) and all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("sep", ["[.]", "(.)", " . "])
+def test_short_split_addresses(sep):
+    w, r = pii.weights(), random.Random(8)
+    for parts in (("10", "0", "0", "1"), ("8", "8", "8", "8"), ("1", "1", "1", "1"), ("192", "0", "2", "1"), ("203", "0", "113", "7"), *(tuple(str(r.randint(0, 99)) for _ in range(4)) for _ in range(20))):
+        assert pii.redact(f"see {sep.join(parts)} there", w) == "see <IP> there"
+        assert pii.redact(f"203.0.113.9 / {sep.join(parts)}", w) == "<IP> / <IP>"
+    for other in (sep.join("123"), sep.join(("300", "1", "1", "1")), sep.join(("1", "2", "3", "4000"))):
+        assert pii.redact(f"see {other} there", w) == f"see {other} there"
+
+
 def test_pii_edges_and_redaction(spark):
     rows = {r.doc_id: r for r in pii.find(docs(spark, EDGE)).collect()}
     assert (rows[7].n_email, rows[7].n_ip, rows[7].n_card, rows[7].n_phone) == (1, 1, 1, 1)
