@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import language, sha256, word_count
-from .claims import contradictions, overclaims
+from .claims import OVERCLAIM_CAP, contradictions, overclaims
 from .references import check_floats, check_references, gates
 
 # The checks, their category and layer, in the order of reports.
@@ -43,11 +43,12 @@ def deterministic_findings(docs: DataFrame) -> DataFrame:
     return refs.unionByName(floats).unionByName(over).unionByName(pairs)
 
 
-def run_counters(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row for every document, zeros included."""
+def run_counters(docs: DataFrame, findings: DataFrame, overclaim_cap: int = OVERCLAIM_CAP) -> DataFrame:
+    """One row for every document, zeros included; overclaim_truncated: candidates beyond the cap, which no finding shows."""
     n = findings.groupBy("doc_id").agg(*[F.count_if(F.col("check") == c).alias(c.replace("-", "_")) for c, _, _ in CHECKS], F.count("*").alias("findings"))
-    out = doc_stats(docs).join(n, "doc_id", "left")
-    return out.fillna(0, [c.replace("-", "_") for c, _, _ in CHECKS] + ["findings"])
+    over = overclaims(docs.where(language("text") == "en").select("doc_id", "text"), overclaim_cap).groupBy("doc_id").agg(F.count_if("over_cap").alias("overclaim_truncated"))
+    out = doc_stats(docs).join(n, "doc_id", "left").join(over, "doc_id", "left")
+    return out.fillna(0, [c.replace("-", "_") for c, _, _ in CHECKS] + ["findings", "overclaim_truncated"])
 
 
 def layer_breakdown(docs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -266,6 +266,14 @@ def fx_bm25(spark, d):
     return evidence.bm25(s, q).select("q_id", "idx")
 
 
+@fixture("doc_id, overclaim_truncated", [("long", 6), ("full", 0), ("short", 0)])
+def fx_overclaim_truncated(spark, d):
+    said = lambda n: " ".join(f"It always returns each matching row of table {i}." for i in range(n))
+    t = spark.createDataFrame([("long", said(31)), ("full", said(25)), ("short", "Plain words.")], "doc_id string, text string")
+    found = spark.createDataFrame([], "doc_id string, check string")
+    return report.run_counters(t, found).select("doc_id", "overclaim_truncated")
+
+
 @fixture("doc_id, \"check\", address", [("d", "cited-not-listed", "05.1"), ("d", "cited-not-listed", "05.2"), ("d", "overclaim", "12.1")])
 def fx_addresses(spark, d):
     f = spark.createDataFrame([("d", "cited-not-listed", 5, 1), ("d", "cited-not-listed", 9, 2), ("d", "overclaim", 0, None)], "doc_id string, check string, span_start int, number int")

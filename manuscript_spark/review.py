@@ -32,7 +32,8 @@ def review(documents: DataFrame, config: Config | None = None, terms: DataFrame
     """(findings, runs) of documents (doc_id, text, and brief if they have one).
 
     findings: doc_id, category, check, severity, quoted_span, span_start, span_end, source_ref, decided_by.
-    runs: one row for every document. Layers whose inputs are missing are silent. Documents in
+    runs: one row for every document; overclaim_truncated counts the candidates beyond the cap, which
+    are no findings. Layers whose inputs are missing are silent. Documents in
     another language than English are skipped. With `views` both are temp views, findings and runs.
     """
     config = config or Config()
@@ -62,7 +63,7 @@ def review(documents: DataFrame, config: Config | None = None, terms: DataFrame
         out = out.unionByName(p)
     dim = F.broadcast(report.checks_table(documents.sparkSession).select("check", "category"))
     findings = out.join(dim, "check").withColumn("decided_by", F.lit("rule"))
-    runs = report.run_counters(documents.select("doc_id", "text"), findings)
+    runs = report.run_counters(documents.select("doc_id", "text"), findings, config.overclaim_cap)
     if config.views:
         findings.createOrReplaceTempView("findings")
         runs.createOrReplaceTempView("runs")

@@ -65,6 +65,13 @@ def test_stream_reviews_each_text_once(spark, tmp_path):
     assert sorted(r.check for r in found) == ["float-missing", "float-never-referenced", "overclaim"]
 
 
+def test_review_counts_what_the_cap_drops(spark):
+    many = lambda n: " ".join(f"It always returns each matching row of table {i}." for i in range(n))
+    docs = spark.createDataFrame([(1, many(31)), (2, many(25)), (3, "Plain words."), (4, None), (5, "مرحبا بالعالم كله")], "doc_id long, text string")
+    runs = {r.doc_id: (r.overclaim, r.overclaim_truncated) for r in review(docs, Config(overclaim_cap=24))[1].collect()}
+    assert runs == {1: (24, 7), 2: (24, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_review_and_history(spark, tmp_path):
     docs = spark.createDataFrame([(1, "It always returns each matching row. Got 7%.", "About 5% here."), (2, "مرحبا بالعالم كله", ""), (3, "Plain words.", None)], "doc_id long, text string, brief string")
     terms = spark.createDataFrame([("d", "Directed Acyclic Graph Scheduler", [], False, False)], "slug string, canonical string, variants array<string>, stub boolean, single_word_allowed boolean")
