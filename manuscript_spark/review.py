@@ -1,4 +1,4 @@
-"""The library's front door: a review of documents, with registries and verdicts as tables."""
+"""The library's front door: a review of documents by rules, with registries as tables. It takes no verdicts."""
 
 from __future__ import annotations
 
