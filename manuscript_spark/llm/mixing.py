@@ -4,7 +4,8 @@ Documents are leaves' tokens in a tree of domain, language and source. A budget
 propagated from the root by weights; a node that has less than its share passes the shortage to its
 siblings, and only what all siblings can't take goes to the level above. Each leaf then takes a
 prefix of seeded epochs: whole passes over its documents, and of the last pass, in an order that
-seed and epoch give, the documents whose tokens fit.
+seed and epoch give, the documents before the first that doesn't fit. What is left of its budget is
+not given to siblings.
 """
 
 from __future__ import annotations
