@@ -23,35 +23,39 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS = 4096
 #: Classes of page_ids that hold a page whose payload occurs more than once: the bound of a broadcast.
 CLASSES = 1 << 17
+#: Files that are named to the reader when broken payloads are read again; with more, all files are read.
+NAMED_FILES = 10_000
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: five hexadecimal digits are four signs."""
-    digest = F.sha1(payload)
-    part = [F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
-    signs = [F.substring(F.lit(BASE32), F.shiftright(p, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1)) for p in part for k in range(4)]
-    return F.concat(*signs)
+def base32(hexdigest: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hexadecimal: ten digits are 40 bits, eight signs."""
+    part = [F.lpad(F.conv(F.substring(hexdigest, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*part), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def records_of(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to) with refers_to the page_id of the response that has
+    """(page_id, url, payload, refers_to) with refers_to the page_id of the response that has
     the same payload, null for the response itself: the page (or all rows of it) with the smallest
-    page_id. Pages without a page_id are responses only if no page with one has the payload.
+    page_id. Pages without a page_id are responses only if no page with one has the payload. Other columns
+    of pages are not read.
 
-    Payloads aren't shuffled unless a page is in a class of page_ids with a revisit in it.
+    Which payloads are equal is found from a table of ids and digests. Payloads aren't shuffled unless a page is in a
+    class of page_ids with a revisit in it; with far more revisits than CLASSES nearly every class has one,
+    and then every payload is shuffled once, by page_id and digest.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    page = pages.withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
-    narrow = page.select("page_id", "digest")
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisits = written(narrow.join(first, "digest").where("first is not null and not page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    hexdigest = F.sha1(F.col("payload").cast("binary"))
+    narrow = written(pages.select("page_id", hexdigest.alias("hex")), "warc-digests")
+    first = narrow.groupBy("hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hex", "first")
+    revisits = written(narrow.join(first, "hex").where("first is not null and not page_id <=> first").select("page_id", "hex", F.col("first").alias("refers_to")).distinct(), "warc-revisits")
     in_class = F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(CLASSES)), F.lit(-1))
-    classes = F.broadcast(revisits.select(in_class.alias("class")).distinct())  # CLASSES rows at most
-    page = page.withColumn("class", in_class)
-    plain = page.join(classes, "class", "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
-    r = revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
-    looked = page.join(classes, "class", "left_semi").join(r, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
-    cols = ("page_id", "url", "payload", "digest", "refers_to")
+    classes = F.broadcast(revisits.select(in_class.alias("class")).distinct())  # CLASSES + 1 rows at most
+    pages = pages.withColumn("class", in_class)
+    plain = pages.join(classes, "class", "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
+    r = revisits.select(F.col("page_id").alias("r_page"), F.col("hex").alias("r_hex"), "refers_to")
+    looked = pages.join(classes, "class", "left_semi").withColumn("hex", hexdigest)
+    looked = looked.join(r, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("hex") == F.col("r_hex")), "left")
+    cols = ("page_id", "url", "payload", "refers_to")
     return plain.select(*cols).unionByName(looked.select(*cols))
 
 
@@ -59,7 +63,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     """Write one record per page (page_id, url, html; null html: empty payload) to uncompressed WARC
     files. A revisit has no payload but tells the digest and length of the full one. A missing page_id
     or url leaves out its header; line ends in a url are removed."""
-    r = records_of(pages)
+    r = records_of(pages).withColumn("hex", F.sha1(F.col("payload").cast("binary")))
     revisit = F.col("refers_to").isNotNull()
     eol = F.lit("\r\n")
 
@@ -73,7 +77,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         header("WARC-Record-ID", urn(F.col("page_id"))),
         header("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), eol,
+        F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("hex")), eol,
         header("WARC-Refers-To", urn(F.col("refers_to"))),
         F.lit("X-Payload-Length: "), F.octet_length("payload").cast("string"), eol,
         F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.octet_length("payload")).cast("string"), eol,
@@ -110,17 +114,17 @@ def _header(name: str) -> Column:
 def candidates(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every place of the magic string: file, block, seq, off, next (of its successor; null: no
     record can begin here), header fields; whole: its payload ends before the next magic string; then
-    also bytes and digest of the payload."""
+    also bytes and hexadecimal digest of the payload."""
     p = _pieces(spark, paths)
     p = p.withColumn("size", F.octet_length("value").cast("long"))
     p = p.withColumn("head", F.when(F.instr("value", "\r\n\r\n") > 0, F.substring_index("value", "\r\n\r\n", 1)))
     p = p.withColumn("head_size", (F.octet_length("head") + 4).cast("long")).withColumn("length", F.nullif(_header("Content-Length"), F.lit("")).try_cast("long"))
     p = p.withColumn("whole", F.coalesce(F.col("size") == F.col("head_size") + F.col("length") + 4, F.lit(False)))
     payload = F.substring(F.col("value").cast("binary"), (F.col("head_size") + 1).cast("int"), F.col("length").cast("int"))
-    p = p.withColumn("digest", F.when(F.col("whole"), sha1_base32(payload)))
+    p = p.withColumn("hex", F.when(F.col("whole"), F.sha1(payload)))
     urn = lambda name: F.regexp_extract(_header(name), "<urn:page:(-?[0-9]+)>", 1)
     p = p.select(
-        "file", "block", "seq", "size", "head_size", "length", "whole", "digest",
+        "file", "block", "seq", "size", "head_size", "length", "whole", "hex",
         F.lower(_header("WARC-Type")).alias("type"), F.nullif(urn("WARC-Record-ID"), F.lit("")).try_cast("long").alias("page_id"), F.nullif(urn("WARC-Refers-To"), F.lit("")).try_cast("long").alias("refers_to"),
         F.nullif(_header("X-Payload-Length"), F.lit("")).try_cast("long").alias("told_bytes"), F.regexp_extract(_header("WARC-Payload-Digest"), "sha1:([A-Z2-7]{32})", 1).alias("told_digest"),
     )
@@ -150,33 +154,41 @@ def reachable(cand: DataFrame) -> DataFrame:
     return nodes.where("reached").select("file", "off")
 
 
+def _joined(spark: SparkSession, path: str, cand: DataFrame, broken: DataFrame) -> DataFrame:
+    """(file, off, hex, got) of the records whose payload holds the magic string: payloads put together again from
+    their pieces. Which pieces belong to a record is found from places alone; only these pieces are then moved."""
+    files = broken.select("file").distinct()
+    named = [r.file for r in files.limit(NAMED_FILES + 1).collect()]
+    if not named:
+        return spark.createDataFrame([], "file string, off long, hex string, got long")
+    part = cand.join(files, "file", "left_semi") if len(named) > NAMED_FILES else cand.where(F.col("file").isin(named))
+    starts = broken.select("file", "off", F.struct(F.col("off").alias("at"), (F.col("off") + len(MAGIC) + F.col("head_size") + F.col("length")).alias("end"), "head_size", F.col("length").alias("len")).alias("record"))
+    upto = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
+    of = part.select("file", "off").join(starts, ["file", "off"], "left").withColumn("record", F.last("record", ignorenulls=True).over(upto)).where("off < record.end")
+    pieces = _pieces(spark, [path] if len(named) > NAMED_FILES else named).withColumn("size", F.octet_length("value").cast("long"))
+    moved = _placed(pieces).select("file", "off", "value").join(of, ["file", "off"])
+    joined = moved.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
+    value = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).cast("binary")
+    payload = F.substring(value, (F.col("record.head_size") + 1).cast("int"), F.col("record.len").cast("int"))
+    return joined.select("file", F.col("record.at").alias("off"), payload.alias("payload")).select("file", "off", F.sha1("payload").alias("hex"), F.octet_length("payload").cast("long").alias("got"))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, type, page_id, refers_to, payload_bytes, payload_digest) of every record that the
     chain of its file reaches. Bytes and digest are those of the payload as read; for revisits, which
-    have none, those that the record tells of the full payload. What follows a broken record in a file isn't reached.
+    have none, those that the record tells of the full payload. What follows a broken record in a file isn't reached;
+    a record whose payload the file doesn't hold in full is none. No files, no records.
     Records whose payload holds the magic string are put together again from their pieces."""
     cand = written(candidates(spark, [path]), "warc-candidates")
     found = written(cand.join(reachable(cand), ["file", "off"]), "warc-records")
-    cols = ["file", "off", "type", "page_id", "refers_to", "told_bytes", "told_digest", "length", "digest"]
-    whole = found.where("whole").select(*cols)
-    files = [r.file for r in found.where("not whole").select("file").distinct().collect()]
-    if files:
-        again = _pieces(spark, files).withColumn("size", F.octet_length("value").cast("long"))
-        placed = _placed(again).where("off >= 0").select("file", "off", "value")
-        starts = found.where(F.col("file").isin(files)).select("file", "off", F.lit(True).alias("start"), "whole", "head_size", F.col("length").alias("len"))
-        at = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
-        of = placed.join(starts, ["file", "off"], "left")
-        of = of.withColumn("record", F.last(F.when(F.col("start"), F.struct(F.col("off").alias("at"), "whole", "head_size", "len")), ignorenulls=True).over(at)).where("not record.whole")
-        joined = of.groupBy("file", F.col("record.at").alias("off"), F.col("record.head_size").alias("head_size"), F.col("record.len").alias("len")).agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
-        value = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).cast("binary")
-        payload = F.substring(value, (F.col("head_size") + 1).cast("int"), F.col("len").cast("int"))
-        fixed = joined.select("file", "off", sha1_base32(payload).alias("digest2"), F.octet_length(payload).cast("long").alias("got")).where("got is not null")
-        broken = found.where("not whole").join(fixed, ["file", "off"]).where("got = length").withColumn("digest", F.col("digest2"))
-        whole = whole.unionByName(broken.select(*cols))
+    cols = ["file", "off", "type", "page_id", "refers_to", "told_bytes", "told_digest", "length", "hex"]
+    broken = found.where("not whole")
+    fixed = _joined(spark, path, cand, broken)
+    rows = found.where("whole").select(*cols).unionByName(broken.drop("hex").join(fixed, ["file", "off"]).where("got = length").select(*cols))
     revisit = F.col("type") == "revisit"
-    return whole.select(
+    return rows.select(
         "file", "off", "type", "page_id", "refers_to",
-        F.when(revisit, F.col("told_bytes")).otherwise(F.col("length")).alias("payload_bytes"), F.when(revisit, F.col("told_digest")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.when(revisit, F.col("told_bytes")).otherwise(F.col("length")).alias("payload_bytes"), F.when(revisit, F.col("told_digest")).otherwise(base32(F.col("hex"))).alias("payload_digest"),
     )
 
 
