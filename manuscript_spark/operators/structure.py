@@ -75,8 +75,8 @@ LAST_REFERENCES = rf"(?sd)\A(.*)(?m:^)[{_BLANK}]*(?:(?:[IVXLC]+\.|[A-H]\.|[0-9]+
 def prose_end(text: str | Column) -> Column:
     """Where the last references section begins; the length of the text if there is none or it begins too early."""
     t = F.col(text) if isinstance(text, str) else text
-    found = F.struct(F.length(F.regexp_extract(t, LAST_REFERENCES, 0)).alias("whole"), F.length(F.regexp_extract(t, LAST_REFERENCES, 1)).alias("before"))
-    return bind(found, lambda x: F.when((x["whole"] > 0) & (x["before"] >= F.length(t) * MIN_PROSE), x["before"]).otherwise(F.length(t)))
+    before = F.length(F.regexp_extract(t, LAST_REFERENCES, 1))  # zero without a match
+    return bind(before, lambda n: F.when(n >= F.length(t) * MIN_PROSE, n).otherwise(F.length(t)))
 
 
 def sentence_array(text: str | Column) -> Column:

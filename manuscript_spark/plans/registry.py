@@ -122,10 +122,10 @@ def ref_entries(spark, d):
     return references.entries(M.citing(spark, d)).select("doc_id", "number", "start")
 
 
-@query(f"""WITH {M.CITING} SELECT doc_id, number, pos AS "at" FROM cite JOIN doc USING (doc_id) WHERE prose_end >= 0.1 * total""")
+@query(f"""WITH {M.CITING}, c AS (SELECT doc_id, number, pos AS "at" FROM cite UNION ALL
+SELECT doc_id, n, pos::int FROM ent JOIN doc USING (doc_id) WHERE prose_end < 0.1 * total) SELECT doc_id, number, min("at") AS "at" FROM c GROUP BY 1, 2""")
 def ref_cited(spark, d):
-    papers = M.citing(spark, d)
-    return references.cited(papers.where(structure.prose_end("text") < F.length("text")))
+    return references.cited(M.citing(spark, d))
 
 
 @query(f"WITH {M.CITING} SELECT doc_id, entries, why AS skipped_reason FROM gate")
@@ -136,23 +136,23 @@ def ref_gates(spark, d):
 @query(f"""WITH {M.CITING} SELECT doc_id, number, pos AS start FROM cite c JOIN live USING (doc_id)
 WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = c.doc_id AND e.n = c.number) AND number <= (SELECT max(n) FROM ent e WHERE e.doc_id = c.doc_id)""")
 def ref_cited_not_listed(spark, d):
-    return references.cited_not_listed(*references.active(M.citing(spark, d))).select("doc_id", "number", "start")
+    return references.cited_not_listed(references.checked(M.citing(spark, d))).select("doc_id", "number", "start")
 
 
 @query(f"""WITH {M.CITING} SELECT doc_id, n AS number, pos::int AS start, substr(t, 1, 120) AS quote FROM ent e JOIN live USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM cite c WHERE c.doc_id = e.doc_id AND c.number = e.n)""")
 def ref_listed_not_cited(spark, d):
-    return references.listed_not_cited(*references.active(M.citing(spark, d))).select("doc_id", "number", "start", "quote")
+    return references.listed_not_cited(references.checked(M.citing(spark, d))).select("doc_id", "number", "start", "quote")
 
 
 @query(f"""WITH {M.CITING}, x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY pos) AS r, first(n) OVER (PARTITION BY doc_id, s, p ORDER BY pos) AS f FROM ent JOIN live USING (doc_id))
 SELECT doc_id, n AS number, pos::int AS start, 'number' AS kind FROM x WHERE r > 1 UNION ALL SELECT doc_id, n, pos::int, 'work' FROM x WHERE f <> n""")
 def ref_duplicates(spark, d):
-    return references.duplicates(references.active(M.citing(spark, d))[0]).select("doc_id", "number", "start", "kind")
+    return references.duplicates(references.checked(M.citing(spark, d))).select("doc_id", "number", "start", "kind")
 
 
 @query(f"WITH {M.CITING} SELECT doc_id, n AS number, pos::int AS start FROM ent JOIN live USING (doc_id) WHERE p % 7 = 0")
 def ref_missing_year(spark, d):
-    return references.missing_year(references.active(M.citing(spark, d))[0]).select("doc_id", "number", "start")
+    return references.missing_year(references.checked(M.citing(spark, d))).select("doc_id", "number", "start")
 
 
 @query(f"WITH {M.FLOATS} SELECT doc_id, family, number FROM cap")
