@@ -200,7 +200,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         work.close = enc.forget
         return work
 
-    return map_texts(docs, make, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -10,20 +10,20 @@ not given to siblings.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import documents
+from .shared import documents, packed, unpacked, written
 
 LEVELS = ("domain", "lang", "source")
 #: Buckets of the order within an epoch; only one bucket of a leaf is summed up row by row.
 BUCKETS = 4096
-#: Leaves that are broadcast, at most; with more, their table is joined by a shuffle.
-BROADCAST_LEAVES = 50_000
+#: Leaves that are broadcast, at most; with more, their table is joined by a shuffle, in which each leaf has
+#: as many copies as salts, so that the documents of a hot one go to many tasks.
+BROADCAST_LEAVES, SALTS = 50_000, 32
 
 
 def default_domain() -> Column:
@@ -37,99 +37,109 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def budgets(leaves: Mapping[tuple, int], total: float, weights: Mapping[tuple, float], epochs: int) -> dict[tuple, float]:
-    """Tokens for each leaf (a path of names -> its tokens). weights: path of any node -> its weight
-    among its siblings, one where it is missing. No leaf gets more than `epochs` times its tokens.
-    Ties and order don't matter: all shares of a level are worked out together."""
-    capacity: dict[tuple, float] = {(): 0.0}
-    children: dict[tuple, list[tuple]] = {}
-    for path, tokens in leaves.items():
-        for k in range(len(path) + 1):
-            node = path[:k]
-            if node not in capacity and k:
-                children.setdefault(path[: k - 1], []).append(node)
-            capacity[node] = capacity.get(node, 0.0) + float(tokens) * epochs
-    out: dict[tuple, float] = {}
-
-    def spread(node: tuple, budget: float) -> None:
-        if node in leaves and node not in children:
-            out[node] = min(budget, capacity[node])
-            return
-        given = dict.fromkeys(children.get(node, []), 0.0)
-        open_, left = [c for c in given if weights.get(c, 1.0) > 0 and capacity[c] > 0], min(budget, capacity[node])
-        while open_ and left > 1e-9:
-            unit = left / math.fsum(weights.get(c, 1.0) for c in open_)
-            short = [c for c in open_ if capacity[c] <= weights.get(c, 1.0) * unit]
-            for c in short or open_:
-                given[c] = capacity[c] if short else weights.get(c, 1.0) * unit
-            if not short:
-                break
-            left -= math.fsum(capacity[c] for c in short)
-            open_ = [c for c in open_ if c not in set(short)]
-        for c, b in given.items():
-            spread(c, b)
-
-    # what weights of zero keep from being taken goes to the ancestors' other children
-    usable = dict(capacity)
-    for path in sorted(capacity, key=len, reverse=True):
-        if path in children:
-            usable[path] = math.fsum(usable[c] for c in children[path])
-        if path and weights.get(path, 1.0) <= 0:
-            usable[path] = 0.0
-    capacity = usable
-    spread((), float(total))
+def _same(left: list[str], right: list[str]) -> Column:
+    """Paths are equal; null is a name like any other."""
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out = out & F.col(a).eqNullSafe(F.col(b))
     return out
 
 
+def _weighted(nodes: DataFrame, level: int, weights: Mapping[tuple, float]) -> DataFrame:
+    """Adds w to the nodes of a level: their weight among their siblings, one where none is given."""
+    at = LEVELS[:level]
+    given = [(*path, float(max(w, 0.0))) for path, w in weights.items() if len(path) == level]
+    if not given:
+        return nodes.withColumn("w", F.lit(1.0))
+    table = nodes.sparkSession.createDataFrame(given, ", ".join(f"w_{k} string" for k in at) + ", given double")
+    return nodes.join(table, _same(list(at), [f"w_{k}" for k in at]), "left").withColumn("w", F.coalesce("given", F.lit(1.0))).drop("given", *[f"w_{k}" for k in at])
+
+
+def budgets(leaves: DataFrame, total: float, weights: Mapping[tuple, float], epochs: int) -> DataFrame:
+    """leaves (domain, lang, source, n tokens) with budget: the tokens that each gets of a total. weights: path of any node -> its weight
+    among its siblings, one where it is missing; zero or less: nothing. No leaf gets more than `epochs` times its tokens.
+
+    Water-filling, level by level, as window functions: siblings in the order of capacity over weight; one is full if its
+    capacity is at most its share of what the ones before leave, and the first that isn't sets the share of all behind.
+    What siblings can't take has been kept from their parent before, so that it goes to the ancestors' other children.
+    """
+    nodes = _weighted(leaves, len(LEVELS), weights).withColumn("capacity", F.when(F.col("w") > 0, F.col("n").cast("double") * epochs).otherwise(0.0))
+    tree = [nodes]  # the nodes of each level, the leaves first; each level's capacity is what its children can take
+    for level in range(len(LEVELS) - 1, 0, -1):
+        up = _weighted(tree[-1].groupBy(*LEVELS[:level]).agg(F.sum("capacity").alias("capacity")), level, weights)
+        tree.append(up.withColumn("capacity", F.when(F.col("w") > 0, F.col("capacity")).otherwise(0.0)))
+    parents: DataFrame | None = None
+    for level, children in enumerate(reversed(tree), 1):
+        above = LEVELS[: level - 1]
+        if parents is None:
+            c = children.withColumn("budget", F.lit(float(total)))
+        else:
+            p = parents.select(*[F.col(k).alias(f"p_{k}") for k in above], F.col("given").alias("budget"))
+            c = children.join(p, _same(list(above), [f"p_{k}" for k in above])).drop(*[f"p_{k}" for k in above])
+        family = W.partitionBy(*above)
+        order = family.orderBy("ratio", *LEVELS[:level])
+        before = order.rowsBetween(W.unboundedPreceding, -1)
+        c = c.withColumn("open", F.when(F.col("capacity") > 0, F.col("w")).otherwise(0.0)).withColumn("ratio", F.when(F.col("open") > 0, F.col("capacity") / F.col("open")))
+        rest = F.sum("open").over(family) - F.coalesce(F.sum("open").over(before), F.lit(0.0))
+        c = c.withColumn("left", F.greatest(F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0)), F.lit(0.0))).withColumn("share", F.try_divide(F.col("left"), rest))
+        c = c.withColumn("unit", -F.min(F.when(F.col("ratio") > F.col("share"), F.struct("ratio", (-F.col("share")).alias("less")))).over(family)["less"])
+        c = c.withColumn("given", F.when(F.coalesce(F.col("open"), F.lit(0.0)) <= 0, 0.0).when(F.col("unit").isNull(), F.col("capacity")).otherwise(F.least("capacity", F.col("open") * F.col("unit"))))
+        parents = c.select(*LEVELS[:level], *(["n"] if level == len(LEVELS) else []), "given")
+    return parents.select(*LEVELS, "n", F.col("given").alias("budget"))
+
+
 def mix(docs: DataFrame, tokens: Column, total: float | None = None, share: float = 0.9, weights: Mapping[tuple, float] | None = None, epochs: int = 1, seed: int = 20, domain: Column | None = None) -> DataFrame:
-    """The selected rows of docs (all its columns) with epoch, domain and n_tokens; rows of a leaf that
+    """The selected rows of docs (all its columns) with __epoch, __domain and __n_tokens; rows of a leaf that
     has more budget than tokens come once for each epoch.
 
+    docs: doc_id, text, lang, source; other columns may have any names (one of the three new names gives way to ours).
     tokens: what a document costs. total: the budget; by default `share` of all tokens. In a leaf's
-    last epoch documents come in the order of a hash of seed, epoch and doc_id (ties: doc_id, then tokens) and the longest
+    last epoch documents come in the order of a hash of seed, epoch and doc_id (ties: doc_id, tokens, a hash of the text) and the longest
     prefix that fits is taken. Null lang and source are leaves of their own. Documents without tokens are taken
-    in every whole epoch, and in the last one as far as the prefix goes. An empty table gives an empty result.
+    in every whole epoch, and in the last one as far as the prefix goes; a null text has none. Very long texts cost what they have;
+    one that doesn't fit ends its leaf's prefix. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    own = docs.columns
-    keys = [f"__{k}" for k in LEVELS]
-    df = docs.withColumns({"__domain": domain if domain is not None else default_domain(), "__lang": F.col("lang"), "__source": F.col("source"), "__n": tokens})
-    sums = df.groupBy(*keys).agg(F.sum("__n").alias("n"), F.count("*").alias("docs")).collect()
-    leaves = {(r[0], r[1], r[2]): r.n for r in sums}
-    available = sum(leaves.values())
-    given = budgets(leaves, share * available if total is None else total, weights or {}, epochs)
-    plan = []
-    for path, n in leaves.items():
-        b = math.floor(given.get(path, 0.0) + 1e-6)
-        full = min(epochs, b // n) if n else (epochs if given.get(path) is not None else 0)
-        plan.append((*path, int(full), int(b - full * n) if full < epochs else -1))
-    schema = "p_domain string, p_lang string, p_source string, full int, rest long"
-    table = spark.createDataFrame(plan, schema)
-    small = len(plan) <= BROADCAST_LEAVES
+    own = [c for c in docs.columns if c not in ("__epoch", "__domain", "__n_tokens")]
+    keys = list(LEVELS)
+    row = {"domain": domain if domain is not None else default_domain(), "lang": F.col("lang"), "source": F.col("source"), "n": F.coalesce(tokens, F.lit(0)).cast("long"), "doc_id": F.col("doc_id")}
+    df = docs.select(packed(docs, own, "doc"), F.xxhash64("text").alias("tie"), *[c.alias(k) for k, c in row.items()])
+    narrow = docs.select(*[c.alias(k) for k, c in row.items()])
+    leaves = written(narrow.groupBy(*keys).agg(F.sum("n").alias("n")), "mix-leaves")
+    found = leaves.agg(F.count("*").alias("leaves"), F.sum("n").alias("n")).first()
+    small = found.leaves <= BROADCAST_LEAVES
+    given = budgets(leaves, share * (found.n or 0) if total is None else total, weights or {}, epochs)
+    whole_tokens = F.floor(F.col("budget") + 1e-6)
+    full = F.when(F.col("n") > 0, F.least(F.lit(epochs), F.floor(whole_tokens / F.greatest(F.col("n"), F.lit(1))))).otherwise(epochs).cast("int")
+    # rest: tokens for the last epoch, which isn't whole; -1: there is none
+    rest = F.when(full < epochs, whole_tokens - full * F.col("n")).otherwise(-1).cast("long")
+    table = written(given.select(*[F.col(k).alias(f"p_{k}") for k in keys], full.alias("full"), rest.alias("rest")), "mix-budgets")
 
     def with_leaf(d: DataFrame, t: DataFrame) -> DataFrame:
-        on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, ("p_domain", "p_lang", "p_source"))]
-        return d.join(F.broadcast(t) if small else t, on, "left").drop("p_domain", "p_lang", "p_source")
+        """Documents with what the table says of their leaf."""
+        on = _same(keys, [f"p_{k}" for k in keys])
+        if small:
+            return d.join(F.broadcast(t), on, "left").drop(*[f"p_{k}" for k in keys])
+        salted = t.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return d.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("salt") == F.col("p_salt")), "left").drop("salt", "p_salt", *[f"p_{k}" for k in keys])
 
     order = F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"))
     bucket = F.shiftrightunsigned(order, 52).cast("int")
     # the bucket of a leaf in which its last epoch ends, and what lies before it
-    per = with_leaf(df.select("doc_id", *keys, "__n"), table).where("rest >= 0").groupBy(*keys, bucket.alias("bucket")).agg(F.sum("__n").alias("n"), F.first("rest").alias("rest"))
+    per = with_leaf(narrow, table).where("rest >= 0").groupBy(*keys, bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     upto = F.sum("n").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
     over = per.withColumn("upto", upto).where("upto > rest").groupBy(*keys).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")), "bucket").alias("end"))
-    end = over.select(F.col("__domain").alias("e_domain"), F.col("__lang").alias("e_lang"), F.col("__source").alias("e_source"), F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
-    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(("p_domain", "p_lang", "p_source"), ("e_domain", "e_lang", "e_source"))]
-    table = table.join(F.broadcast(end) if small else end, on, "left").select(*table.columns, "end_bucket", "before")
-
-    df = with_leaf(df, table).withColumns({"__order": order, "__bucket": bucket})
-    whole = df.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    sure = df.where("rest >= 0 and (end_bucket is null or __bucket < end_bucket)").withColumn("epoch", F.col("full"))
-    edge = df.where("rest >= 0 and __bucket = end_bucket")
-    running = F.sum("__n").over(W.partitionBy(*keys).orderBy("__order", "doc_id", "__n").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("__upto", running + F.col("before")).where("__upto <= rest").withColumn("epoch", F.col("full"))
-    cols = [F.col(f"`{c}`") for c in own] + [F.col("epoch").cast("int").alias("__epoch"), "__domain", F.col("__n").alias("__n_tokens")]
-    parts = [p.select(*cols) for p in (whole, sure, edge)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    end = over.select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
+    table = written(table.join(end, _same([f"p_{k}" for k in keys], [f"e_{k}" for k in keys]), "left").select(*table.columns, "end_bucket", "before"), "mix-ends")
+
+    df = with_leaf(df, table).withColumns({"order": order, "bucket": bucket})
+    sure = (F.col("rest") >= 0) & (F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")))
+    times = F.col("full") + F.when(sure, 1).otherwise(0)
+    whole = df.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    edge = df.where("rest >= 0 and bucket = end_bucket")
+    running = F.sum("n").over(W.partitionBy(*keys).orderBy("order", "doc_id", "n", "tie").rowsBetween(W.unboundedPreceding, 0))
+    edge = edge.withColumn("upto", running + F.col("before")).where("upto <= rest").withColumn("epoch", F.col("full"))
+    cols = [*unpacked(own, "doc"), F.col("epoch").cast("int").alias("__epoch"), F.col("domain").alias("__domain"), F.col("n").alias("__n_tokens")]
+    return whole.select(*cols).unionByName(edge.select(*cols))
 
 
 #: The targets of the query: English half of each domain, the others alike; all domains and sources alike.

@@ -1,9 +1,9 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
-The patterns give the base spans. Where a text holds digits or spelled-out addresses that no pattern
-covers, a semi-Markov CRF scores whole candidate segments (their shape as a whole, digit groups,
-check digits, the word before) for each kind, and a dynamic program over segments of bounded length
-chooses boundaries and kinds together. Its spans are added where they touch no base span.
+The patterns give the base spans. In what they leave of a text a semi-Markov CRF scores whole candidate
+segments (their shape as a whole, digit groups, check digits, the word before) for each kind, and a
+dynamic program over segments of bounded length chooses boundaries and kinds together. Its spans are
+added. Only places that hold a candidate are worked on: elsewhere every token is outside for certain.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -83,44 +82,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the semi-Markov CRF ----
 
+#: Letters run on in a token, and so do digits; what else isn't a space stands alone.
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[^\s]")
-#: Tokens in an entity, at most.
-BOUND = 23
-#: Where an entity beyond the base patterns may lie; elsewhere none is looked for.
-DIGITS = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[ ().\[\]/-]{0,3}[0-9]){6,}(?![0-9A-Za-z])")
-#: Parts of a split address: too few digits for the pattern before.
-PARTED = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}(?![0-9A-Za-z])")
-SPELLED = re.compile(r"[\[({]\s?at\s?[\])}]|\sat\s+[\w-]{1,40}\s+dot\s", re.I)
-MARGIN = 48
+LETTER = re.compile(r"[^\W\d_]")
+#: Tokens in an entity, at most: in numbers, in spelled-out addresses.
+BOUND, BOUND_SPELLED = 23, 41
+#: Digits of a number that can be an entity.
+LEAST, MOST = 7, 19
+#: From a digit to the next letter: numbers that are entities hold no letter.
+NUMBERS = re.compile(r"[0-9][\W\d_]*")
+_DOT = r"(?:\s{0,2}[\[({<]\s?(?i:dot)\s?[\])}>]\s{0,2}|\s{1,3}(?i:dot)\s{1,3})"
+_LABEL = "[A-Za-z0-9-]++"
+#: What a spelled-out address goes on with after the sign for "at", in brackets or as a mere word; after a word the first dot is spelled out too.
+AFTER_BRACKET, AFTER_WORD = (re.compile(rf"{_LABEL}{first}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})*+") for first in (rf"(?:{_DOT}|\.)", _DOT))
+SIGN = re.compile(r"[\[({<]\s?[aA][tT]\s?[\])}>]|\s[aA][tT](?=\s)")
+AT = re.compile(rf"[A-Za-z0-9._%+-]+(?:\s{{0,2}}[\[({{<]\s?(?i:at)\s?[\])}}>]\s{{0,2}}{AFTER_BRACKET.pattern}|\s{{1,3}}(?i:at)\s{{1,3}}{AFTER_WORD.pattern})\Z")
+SPLIT_IP = re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}\Z")
+#: The last word before a place, if it is near.
+CUE = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,12})[\W\d_]{0,6}\Z")
 CUES = {
     "email": {"mail", "email", "write", "contact", "address"},
     "ip": {"ip", "host", "server", "address"},
     "card": {"card", "visa", "mastercard", "credit", "paid"},
     "phone": {"phone", "tel", "call", "mobile", "fax", "telephone", "ring"},
 }
-AT = re.compile(r"^[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?at\s?[\])}]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:[\[({]\s?dot\s?[\])}]|\sdot\s|\.)\s?[A-Za-z0-9-]+)+$", re.I)
-SPLIT_IP = re.compile(r"^[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}$")
 SHAPES = {"3-3-4", "3-4", "1-3-3-4", "2-3-3-4", "2-2-2-2-2", "3-2-2-2", "4-7", "4-6", "5-6", "2-4-4", "2-2-2-2", "4-2-4", "2-3-2-2"}
-FEATURES = ["cue", "spelled", "split_ip", "luhn", "card_size", "fours", "phone_size", "phone_shape", "paren", "zeros", "glued", "date", "ends_digit", "bias", "tokens", "letters", "loose", "run"]
+FEATURES = ["cue", "spelled", "split_ip", "luhn", "card_size", "fours", "phone_size", "phone_shape", "paren", "zeros", "glued", "date", "ends_digit", "bias", "tokens", "loose", "run", "comma", "even", "marks"]
 CARDS = {"4-4-4-4", "4-6-5", "16", "4-4-4-4-3"}
 RUN, GAP = re.compile(r"[0-9]+"), re.compile(r"[^0-9]{3,}")
 AREA = re.compile(r"\+?[0-9]{0,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]")
-DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. ](?:[01]?[0-9])[-/. ]")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. :,](?:[01]?[0-9])(?![0-9])|[0-3]?[0-9][-/.][01]?[0-9][-/.](?:19|20)[0-9]{2}(?![0-9])")
 
 
-def _segment(text: str, start: int, end: int) -> tuple[tuple[int, ...], list[float]]:
-    """Kinds that text[start:end] can be, and its features as a whole span (all but the cue, which differs by kind)."""
+def _segment(text: str, start: int, end: int, lo: int, hi: int) -> tuple[tuple[int, ...], list[float]]:
+    """Kinds that text[start:end] can be, and its features as a whole span (all but the cue, which differs by
+    kind). Of what is around it only text[lo:hi] is seen."""
     s = text[start:end]
     sizes = [len(g) for g in RUN.findall(s)]
-    n = sum(sizes)
-    spelled, split_ip = bool(AT.match(s)), bool(SPLIT_IP.match(s))
-    numeric = 7 <= n <= 19 and not any(c.isalpha() for c in s)
-    kinds = (0,) * spelled + (1,) * split_ip + (2, 3) * numeric
+    n, letters = sum(sizes), bool(LETTER.search(s))
+    spelled, split_ip = letters and bool(AT.match(s)), not letters and bool(SPLIT_IP.match(s))
+    kinds = (0,) * spelled + (1,) * split_ip + (2, 3) * (LEAST <= n <= MOST and not letters)
     if not kinds:
         return kinds, []
     groups, card_size = "-".join(map(str, sizes)), 14 <= n <= 19
-    left, right = text[max(0, start - 4) : start].rstrip(), text[end : end + 4].lstrip()
-    glued = (start > 0 and (text[start - 1] in LOCAL or text[start - 1] in '/="#')) or (end < len(text) and (text[end].isalnum() or text[end] in "/-_" or text[end : end + 2].strip(".,")[:1].isdigit()))
+    before, after = text[max(lo, start - 4) : start], text[end : min(hi, end + 4)]
+    left, right = before.rstrip(), after.lstrip()
+    glued = before[-1:] in LOCAL or before[-1:] in tuple('/="#') or after[:1].isalnum() or after[:1] in tuple("/-_") or after[:2].strip(".,")[:1].isdigit() and after[:1] in tuple(".,")
+    between = {g for g in NOT_DIGIT.findall(s[1:]) if not g.startswith(")")}
     return kinds, [
         spelled,
         split_ip and all(map(small, RUN.findall(s))),
@@ -136,38 +144,91 @@ def _segment(text: str, start: int, end: int) -> tuple[tuple[int, ...], list[flo
         s[-1].isdigit() and (s[0].isdigit() or s[0] in "+("),
         1,
         0.1 * len(TOKEN.findall(s)),
-        any(c.isalpha() for c in s),
-        len(sizes) > 5 or bool(GAP.search(s)) or "/" in s,
+        not letters and (len(sizes) > 5 or bool(GAP.search(s)) or "/" in s),
         left[-1:].isdigit() or right[:1].isdigit(),
+        "," in s,
+        len(sizes) > 2 and len(between) == 1,
+        not letters and any(c in ":;$%=#*\"'!?|&\n" for c in s),
     ]
 
 
-def segments(text: str, tokens: list[str], bounds: list[int]) -> Iterator[tuple[int, int, int, list[float]]]:
-    """Candidate segments (first token, token after, kind, features) by first token; at most BOUND tokens each."""
-    word = ""
+def segments(text: str, tokens: list[str], bounds: list[int], lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, int, list[float]]]:
+    """Candidate segments (first token, token after, kind, features) by first token; of bounded length. bounds:
+    places of the tokens in the text, of which text[lo:hi] is seen."""
+    hi = len(text) if hi is None else hi
     for i, t in enumerate(tokens):
-        before, spelled = word, t[0].isalpha()
-        word = t if t.isalpha() else word
-        if not (t[0].isdigit() or t in "+(" or spelled):
+        # a spelled-out address begins where its local part does
+        spelled = t[0] in LOCAL and not (bounds[i] > lo and text[bounds[i] - 1] in LOCAL)
+        number = t[0] in "0123456789+("
+        if not (spelled or number):
             continue
-        digits = 0
-        for j in range(i + 1, min(len(tokens), i + BOUND) + 1):
+        cue, digits, dots = None, 0, False
+        for j in range(i + 1, min(len(tokens), i + (BOUND_SPELLED if spelled else BOUND)) + 1):
             last = tokens[j - 1]
-            digits += len(last) if last[0].isdigit() else 0
-            if not spelled and (digits > 19 or last[0].isalpha()):
-                break  # so is whatever continues it
-            if last.isspace() or not spelled and digits < 4:
+            digits += len(last) if last[0] in "0123456789" else 0
+            dots |= last == "."
+            number = number and digits <= MOST and j - i <= BOUND and not LETTER.match(last)
+            if not (number or spelled):
+                break
+            if last.isspace() or not (number and (digits >= LEAST or digits >= 4 and dots)) and not (spelled and last[0] in LOCAL):
                 continue
-            kinds, f = _segment(text, bounds[i], bounds[j])
+            kinds, f = _segment(text, bounds[i], bounds[j], lo, hi)
             for k in kinds:
-                if spelled == (k == 0):
-                    yield i, j, k, [before.lower() in CUES[KINDS[k]], *f]
+                if spelled if k == 0 else number:
+                    if cue is None:
+                        m = CUE.search(text[max(lo, bounds[i] - 20) : bounds[i]])
+                        cue = m[1].lower() if m else ""
+                    yield i, j, k, [cue in CUES[KINDS[k]], *f]
 
 
-def split(text: str) -> tuple[list[str], list[int]]:
-    """Tokens and their boundaries."""
-    tokens = TOKEN.findall(text)
-    return tokens, [0, *accumulate(map(len, tokens))]
+def split(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[str], list[int]]:
+    """Tokens of text[lo:hi] and their boundaries."""
+    tokens = TOKEN.findall(text, lo, len(text) if hi is None else hi)
+    return tokens, [*accumulate(map(len, tokens), initial=lo)]
+
+
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def places(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Stretches of whole tokens, apart from each other and in order, that hold every candidate segment of
+    text[lo:hi]: numbers from letter to letter, and whatever could be a spelled-out address."""
+    out = []
+    for m in NUMBERS.finditer(text, lo, hi):
+        a, b = m.span()
+        if b - a < LEAST:
+            continue
+        n = len(NOT_DIGIT.sub("", m[0]))
+        if n >= LEAST or n >= 4 and "." in m[0]:
+            while a > lo and not _letter(text[a - 1]):
+                a -= 1
+            out.append((a, b))
+    for m in SIGN.finditer(text, lo, hi):
+        word = m[0][0].isspace()
+        end, start = m.end(), m.start()
+        while end < hi and end - m.end() < 3 and text[end].isspace():
+            end += 1
+        d = (AFTER_WORD if word else AFTER_BRACKET).match(text, end, hi)
+        while d and start > lo and m.start() - start < 3 and text[start - 1].isspace():
+            start -= 1
+        if not d or start == lo or text[start - 1] not in LOCAL:
+            continue
+        a, b = start, d.end()
+        while a > lo and text[a - 1] in LOCAL:
+            a -= 1
+        while a > lo and _letter(text[a - 1]) and _letter(text[a]):
+            a -= 1
+        while b < hi and _letter(text[b - 1]) and _letter(text[b]):
+            b += 1
+        out.append((a, b))
+    apart: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if apart and a < apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+        else:
+            apart.append((a, b))
+    return apart
 
 
 def lattice(text: str) -> tuple[list[int], list[tuple[int, int, int]], np.ndarray]:
@@ -180,10 +241,10 @@ def lattice(text: str) -> tuple[list[int], list[tuple[int, int, int]], np.ndarra
     return bounds, [x[:3] for x in found], rows.reshape(len(found), len(KINDS) * len(FEATURES))
 
 
-def decode(text: str, w: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the best segmentation: entity segments with their scores, single outside
-    tokens with none. Segments are scored as they come, so memory grows with the tokens alone."""
-    tokens, bounds = split(text)
+def decode(text: str, w: np.ndarray, start: int = 0, end: int | None = None, lo: int = 0, hi: int | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best segmentation of text[start:end], of which text[lo:hi] is seen: entity segments with
+    their scores, single outside tokens with none. Segments are scored as they come, so memory grows with the tokens alone."""
+    tokens, bounds = split(text, start, end)
     of_kind, n = w.reshape(len(KINDS), len(FEATURES)).tolist(), len(tokens)
     best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
     done = 0
@@ -195,7 +256,7 @@ def decode(text: str, w: np.ndarray) -> list[tuple[int, int, int]]:
             if best[done - 1] >= best[done]:
                 best[done], back[done] = best[done - 1], None
 
-    for i, j, k, f in segments(text, tokens, bounds):
+    for i, j, k, f in segments(text, tokens, bounds, lo, hi):
         settle(i)
         v = best[i] + sum(map(mul, of_kind[k], f))
         if v > best[j]:
@@ -236,7 +297,7 @@ def _gradient(n: int, segments: list[tuple[int, int, int]], rows: np.ndarray, go
     return (gold - p) @ rows
 
 
-def examples(seed: int = 7, n: int = 400) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def examples(seed: int = 7, n: int = 800) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Made-up passages with marked entities, and others with numbers that are none."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -248,20 +309,24 @@ def examples(seed: int = 7, n: int = 400) -> list[tuple[str, list[tuple[str, int
         return sep.join(digits[i : i + 4] for i in range(0, 16, 4))
 
     def email() -> str:
-        at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", ".")])
-        return f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"
+        at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", "."), (" (at) ", " (dot) "), ("<at>", "."), ("[at]", " dot ")])
+        local = r.choice([word, word, lambda: f"{word()}.{word()}", lambda: f"{word()}{d(2)}", lambda: "".join(word() for _ in range(9))])
+        return f"{local()}{at}{dot.join(word() for _ in range(r.choice((1, 1, 2))))}{dot}{r.choice(['com', 'org', 'net', 'de'])}"
 
     def phone() -> str:
-        return r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{r.randint(2, 9)}{d(2)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{r.randint(1, 9)}{d(1)} {d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(7)}", f"({d(3)}){d(3)}-{d(4)}"])
+        sep = r.choice(["-", ".", " ", "\t", "_", ",", "-", " - "])
+        return r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{r.randint(2, 9)}{d(2)}{sep}{d(3)}{sep}{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{r.randint(1, 9)}{d(1)} {d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(7)}", f"({d(3)}){d(3)}-{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}"])
 
     def number() -> str:
-        return r.choice([f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{d(16)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(12)}", f"1{d(3)}-1{d(3)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", f"#{d(9)}", f"{d(8)}", f"{d(5)}.{d(6)}", f"{word()} at {word()}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f'"{d(13)}"', f"{d(9)}"])
+        year, small_ = f"{r.choice((19, 20))}{d(2)}", str(r.randint(1, 999))
+        return r.choice([f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{d(16)}", f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", f"{d(12)}", f"1{d(3)}-1{d(3)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", f"#{d(9)}", f"{d(8)}", f"{d(5)}.{d(6)}", f"{word()} at {word()}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f'"{d(13)}"', f"{d(9)}",
+            f"{small_},{d(3)},{d(3)}", f"{small_},{d(3)},{d(3)}.{d(2)}", f"{small_},{d(3)},{d(3)},{d(3)}", f"{year}, {r.choice((19, 20))}{d(2)}, {year}", f"{year}, {small_},{d(3)}", f"0.{d(8)}", f"{r.randint(10, 28)}.{r.randint(10, 12)}.{year}", f"{year}-12-{r.randint(10, 28)} {r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(2)}.{d(4)}, {d(1)}.{d(4)}", f"{small_} {d(3)} {d(3)}", f"${small_},{d(3)},{d(3)}", f"{d(4)}-{d(4)}", f"{word()} at {word()}. {word()}", f"{d(3)}; {d(3)}; {d(4)}", f"{d(3)}: {d(3)}: {d(4)}"])
 
     def row() -> str:
-        sep, size = r.choice([" ", " ", "\t", "  ", "-", ". "]), r.randint(1, 6)
-        return sep.join(d(r.randint(max(1, size - r.randint(0, 3)), size)) for _ in range(r.randint(3, 14)))
+        sep, size = r.choice([" ", " ", "\t", "  ", "-", ". ", ", ", ",", "\n", "; "]), r.randint(1, 7)
+        return sep.join(d(r.randint(max(1, size - r.randint(0, 3)), size)) for _ in range(r.randint(4, 14)))
 
-    makers = {"email": email, "ip": lambda: r.choice(["[.]", "(.)"]).join(str(r.randint(0, 255)) for _ in range(4)), "card": lambda: card(r.choice([".", "/", "  ", ". "])), "phone": phone}
+    makers = {"email": email, "ip": lambda: r.choice(["[.]", "(.)"]).join(str(r.randint(0, 255)) for _ in range(4)), "card": lambda: card(r.choice([".", "/", "  ", ". ", "_", "\t", ","])), "phone": phone}
     out = []
     for i in range(n):
         kind = ("email", "ip", "card", "phone", "none", "none", "phone", "none")[i % 8]
@@ -297,38 +362,20 @@ def weights() -> np.ndarray:
     return w
 
 
+def gaps(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What base spans leave of a text, in order."""
+    out, at = [], 0
+    for s, _, e in base:
+        if s > at:
+            out.append((at, s))
+        at = max(at, e)
+    return [*out, (at, len(text))]
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans that the CRF finds in the places where digits or spelled-out addresses lie outside the base spans. A place
-    that base spans touch is cut at them, and each part is looked at by itself."""
-    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
-
-    def covered(start: int, end: int) -> bool:
-        at = bisect_left(starts, end) - 1
-        return at >= 0 and reach[at] > start
-
-    places = []
-    for m in [*DIGITS.finditer(text), *PARTED.finditer(text), *SPELLED.finditer(text)]:
-        if not covered(m.start(), m.end()):
-            places.append((max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)))
-        elif m.re is not SPELLED:
-            # what the base spans leave of it, up to the base spans on both sides
-            at = bisect_left(reach, m.start() + 1)
-            lo = reach[at - 1] if at else 0
-            while lo < m.end():
-                while at < len(starts) and starts[at] <= lo:
-                    lo, at = max(lo, reach[at]), at + 1
-                hi = starts[at] if at < len(starts) else len(text)
-                for rest in m.re.finditer(text, max(lo, m.start()), min(hi, m.end())):
-                    places.append((max(lo, rest.start() - MARGIN), min(hi, rest.end() + MARGIN)))
-                lo = hi
-    out: list[tuple[int, int, int]] = []  # apart from each other, in order
-    for lo, hi in sorted(set(places)):
-        for s, k, e in decode(text[lo:hi], w):
-            s, e = lo + s, lo + e
-            at = bisect_left(out, (s,))
-            if not covered(s, e) and (at == len(out) or out[at][0] >= e) and (not at or out[at - 1][2] <= s):
-                out.insert(at, (s, k, e))
-    return out
+    """Spans that the CRF finds in what base spans leave of a text; each part is looked at by itself. The same as
+    decoding each part whole, since no candidate segment reaches over the edge of a place."""
+    return [x for lo, hi in gaps(text, base) if hi - lo >= LEAST for a, b in places(text, lo, hi) for x in decode(text, w, a, b, lo, hi)]
 
 
 def spans_of(text: str, w: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -354,7 +401,7 @@ def find(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_texts(docs, make, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_texts(docs, make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, w: np.ndarray) -> str:
@@ -372,12 +419,11 @@ def redact(text: str, w: np.ndarray) -> str:
 def redacted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the redacted text (null: empty)."""
     w = weights()
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def make():
         return lambda texts: [pa.array([redact(t, w) for t in texts])]
 
-    return map_texts(docs, make, f"{kinds}, text string", keep)
+    return map_texts(docs, make, "text string", keep)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,26 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Texts that are turned into Python strings at a time; bounds the memory of a Python worker.
 SLICE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset
-    (a local session, as in tests) a folder of this machine is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in a local session that leaves it
+    unset a folder of this machine is made and set; a cluster without the setting is an error, as executors
+    would write to disks of their own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where and sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc._jsc.sc().getCheckpointDir().get()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="manuscript-spark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
@@ -60,6 +65,21 @@ def release(work) -> None:
         pass
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, columns: list[str] | None = None, name: str = "row") -> Column:
+    """All columns (or some) as one struct, so that none of their names can clash with one of ours."""
+    return F.struct(*[named(c) for c in (df.columns if columns is None else columns)]).alias(name)
+
+
+def unpacked(columns: list[str], name: str = "row") -> list[Column]:
+    """The columns of a struct again, under their own names."""
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], list[pa.Array]]],
@@ -71,25 +91,26 @@ def map_texts(
 
     `make` is called once per task and returns the function (so that tokenizers and automata are
     built where they are used); the function gets a list of texts and returns one Arrow array per
-    new column. `schema` is the DDL of the whole result, the kept columns first.
+    new column. `schema` is the DDL of the new columns, which come after the kept ones.
     """
-    out = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    spark = df.sparkSession
+    new = spark.createDataFrame([], schema).schema
+    rows = df.select(packed(df, list(keep)), named(text).alias("text"))
+    out = StructType([rows.schema["row"], *new.fields])
     arrow = to_arrow_schema(out)
-    n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [t or "" for t in part.column(n_keep).to_pylist()]
-                columns = [part.column(i) for i in range(n_keep)] + work(texts)
+                columns = [part.column(0)] + work([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow)], schema=arrow)
         release(work)
 
-    return df.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).mapInArrow(run, out)
+    # kept columns that a new one has the name of give way to it
+    kept = [c for c in keep if c not in new.names]
+    return rows.mapInArrow(run, out).select(*unpacked(kept), *[named(n) for n in new.names])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +119,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
     """The rows of df, with all columns, whose whole text (null: empty) a function accepts."""
+    rows = df.select(packed(df))
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +127,8 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bo
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                yield part.filter(pa.array(accept([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+                texts = part.column(0).field(at).to_pylist()
+                yield part.filter(pa.array(accept([t or "" for t in texts]), pa.bool_()))
         release(accept)
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, rows.schema).select(*unpacked(df.columns))

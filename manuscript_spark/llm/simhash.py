@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
         return work
 
-    return map_texts(docs, make, "doc_id long, fp long")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), make, "fp long")
 
 
 def variants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -53,7 +53,7 @@ def count_misses(texts: DataFrame, path: str) -> DataFrame:
         count = counter(path)
         return lambda part: [pa.array(count(part), pa.int64())]
 
-    return map_texts(texts, make, CACHE, keep=("digest",))
+    return map_texts(texts, make, "n_tokens long", keep=("digest",))
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> DataFrame:

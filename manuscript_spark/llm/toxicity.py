@@ -2,12 +2,14 @@
 
 Texts are folded (case, accents, look-alike letters, digits that stand for letters), the lexicon is
 matched by an Aho-Corasick automaton, matches inside exception phrases are dropped, and the sum of
-weights is normalised by length. Lexicon, exceptions and calibration are learned from labelled rows.
+weights is normalised by length. Lexicon and calibration are learned from labelled rows; exceptions
+are a fixed list of harmless phrases and what labelled rows show to be harmless.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -25,13 +27,21 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ɑ": "a", "ɡ": "g",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-
-#: Bounds of what is learned from: labelled documents of each class, candidate terms, terms, exceptions.
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = 4000, 8000, 20_000, 2_000, 2_000
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: An exclamation mark stands for a letter only between letters, digits or signs that do.
+WITHIN = re.compile(r"(?<=[^\W_]|[@$])!(?=[^\W_]|[@$])")
+# Phrases in which words that are abuse elsewhere are harmless.
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash bags", "take out the trash", "clown fish", "circus clown", "soap scum", "pond scum", "idiot proof", "idiot light", "pathetic fallacy", "worthless check", "sore loser", "winner and loser", "stupid question", "no stupid questions", "kill switch", "killer whale", "dumb bell", "dumb waiter")
+
+#: Bounds of the fit: labelled documents of each class that are learned from.
+MAX_TOXIC, MAX_CLEAN = 4000, 8000
 #: A term needs this share of the toxic sample (and five documents) and these log odds; with less
 #: than the wide share, words of one much copied document would do, so it needs the higher odds.
 SUPPORT, WIDE, LOG_ODDS, HIGH_ODDS = 0.01, 0.03, 3.0, 5.5
+#: A phrase around a term is an exception if it comes so often in clean texts, and at most once in so many of them in toxic ones.
+EXCEPTION, RARE = 3, 20
+#: Words that a shorter text counts as when weights are normalised by length.
+SHORT = 20
 PREFIX = range(4, 11)
 
 
@@ -52,6 +62,8 @@ ASCII = bytes(ord(TABLE.get(c, chr(c))) if len(TABLE.get(c, chr(c))) == 1 else c
 def fold(text: str) -> str:
     """A text for matching: lower case, no accents, look-alikes and digit signs as Latin letters,
     punctuation as spaces; a space before and after."""
+    if "!" in text:
+        text = WITHIN.sub("i", text)
     if text.isascii():
         return f" {text.lower().encode('ascii').translate(ASCII).decode('ascii')} "
     return f" {unicodedata.normalize('NFKD', text.lower()).translate(TABLE)} "
@@ -72,7 +84,7 @@ def terms_of(text: str) -> set[str]:
 class Lexicon:
     """Weighted terms, exception phrases and the calibration of a score."""
 
-    def __init__(self, weights: dict[str, float], exceptions: Iterable[str] = (), line: tuple[float, float, float] = (-3.0, 1.5, 0.5)):
+    def __init__(self, weights: dict[str, float], exceptions: Iterable[str] = (), line: tuple[float, float] = (-3.0, 2.0)):
         self.weights, self.exceptions, self.line = weights, sorted(exceptions), line
         self.automaton = None
 
@@ -110,34 +122,28 @@ class Lexicon:
         hits = self.matches(folded)
         return sum(self.weights[t] for _, _, t in hits), len(hits), len(folded.split())
 
-    def features(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return np.stack([np.ones(len(total)), np.log1p(total), np.log1p(100 * total / (20 + words))], 1)
+    def density(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The evidence normalised by length: a text joined to itself has the same."""
+        return np.log1p(100 * np.asarray(total, float) / np.maximum(SHORT, np.asarray(words, float)))
 
     def scores(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
-        z = self.features(np.asarray(total, float), np.asarray(words, float)) @ np.array(self.line)
+        z = self.line[0] + self.line[1] * self.density(total, words)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _calibrate(lexicon: Lexicon, total: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression with a slight pull of the slopes to zero, by Newton steps; classes weigh alike.
-    Slopes stay at zero or above, so that more evidence never lowers a score."""
-    x = lexicon.features(total, words)
+def _calibrate(lexicon: Lexicon, total: np.ndarray, words: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on the density with a slight pull of the slope to zero, by Newton steps; classes weigh
+    alike. The slope stays at zero or above, so that more evidence never lowers a score."""
+    x = np.stack([np.ones(len(total)), lexicon.density(total, words)], 1)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    use = [0, 1, 2]
-    while True:
-        b, pull = np.zeros(len(use)), np.diag([1e-6] + [0.5] * (len(use) - 1))
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x[:, use] @ b, -30, 30)))
-            step = np.linalg.solve((x[:, use] * (weight * p * (1 - p))[:, None]).T @ x[:, use] + pull, x[:, use].T @ (weight * (y - p)) - pull @ b)
-            b += np.clip(step, -5, 5)
-            if abs(step).max() < 1e-8:
-                break
-        low = [i for i, v in zip(use, b) if i and v < 0]
-        if not low:
-            line = np.zeros(3)
-            line[use] = b
-            return tuple(line.tolist())
-        use.remove(low[0])
+    b, pull = np.zeros(2), np.diag([1e-6, 0.5])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull, x.T @ (weight * (y - p)) - pull @ b)
+        b += np.clip(step, -5, 5)
+        if abs(step).max() < 1e-8:
+            break
+    return (float(b[0]), float(b[1])) if b[1] >= 0 else (0.0, 0.0)
 
 
 def _counts(sample: DataFrame, only: set[str] | None) -> DataFrame:
@@ -159,7 +165,8 @@ def _counts(sample: DataFrame, only: set[str] | None) -> DataFrame:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most MAX_TOXIC and MAX_CLEAN labelled texts, by a hash of their ids; each text once."""
+    """(text, toxic) of at most MAX_TOXIC and MAX_CLEAN labelled texts, by a hash of their ids; each text once, and of
+    documents that repeat an id one."""
     y = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     n = {r.toxic: r.n for r in y.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))}
@@ -167,6 +174,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     y = y.where(unit < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # its size has the bounds above
     picked = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").where("text is not null")
+    picked = picked.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     return picked.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
@@ -179,8 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not n1 or not n0:
         return Lexicon({})
     least = max(min(5, n1), math.ceil(SUPPORT * n1))
-    top = _counts(sample.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
-    toxic = {r.term: r.n for r in top}
+    # what the driver gets is bounded by the sample: a hundredth of its texts hold each of these terms
+    toxic = {r.term: r.n for r in _counts(sample.where("toxic = 1"), None).where(F.col("n") >= least).collect()}
     clean = {r.term: r.n for r in _counts(sample.where("toxic = 0"), set(toxic)).collect()}
     odds = {t: math.log((k + 0.5) / (n1 + 1)) - math.log((clean.get(t, 0) + 0.5) / (n0 + 1)) for t, k in toxic.items()}
     telling = {t for t, w in odds.items() if w >= (LOG_ODDS if toxic[t] >= WIDE * n1 else HIGH_ODDS)}
@@ -189,12 +197,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         stem = t.strip()
         if any(f" {stem[:n]}" in kept for n in range(PREFIX.start, len(stem) + 1)):
             continue
-        longer = max((toxic[x] for x in telling if x != t and x.startswith(t.rstrip()) and len(x.strip()) > len(stem)), default=0)
+        more = [x for x in telling if x != t and x.startswith(t.rstrip()) and len(x.strip()) > len(stem)]
+        longer = max((toxic[x] for x in more), default=0)
+        if any(toxic[x] >= 0.8 * toxic[t] and odds[x] >= odds[t] + 1 for x in more):
+            continue  # most of it is a longer one that tells more
         whole = f" {stem} "
         if t == whole or not (longer >= 0.95 * toxic[t] or toxic.get(whole, 0) >= 0.95 * toxic[t]):  # ... unless a longer one has as many
             kept[t] = odds[t]
-    kept = dict(sorted(kept.items(), key=lambda x: -toxic[x[0]])[:MAX_TERMS])
-    lexicon = Lexicon(kept)
+    fixed = {f" {e} " for e in EXCEPTIONS}
+    lexicon = Lexicon(kept, fixed)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,16 +214,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 f = fold(t)
                 for s, e, term in lexicon.matches(f):
                     e = e - 1 if term.endswith(" ") else f.index(" ", e)
-                    before, after = f[max(0, s - 40) : s].split()[-1:], f[e : e + 40].split()[:1]
-                    word = f[s + 1 : e]
-                    found.update((y, f" {' '.join(p)} ") for p in ([*before, word], [word, *after]) if len(p) == 2)
+                    word, near = f[s + 1 : e], []
+                    if s and f[s - 1] != " ":
+                        near.append(f"{f[f.rindex(' ', 0, s) + 1 : s]} {word}")
+                    if f[e + 1 : e + 2].strip():
+                        near.append(f"{word} {f[e + 1 : f.index(' ', e + 1)]}")
+                    found.update((y, f" {p} ") for p in near)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found]), pa.array(found.values(), pa.int64())], names=["toxic", "phrase", "n"])
 
     in_clean = F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     in_toxic = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0))
     odd = sample.mapInArrow(phrases, "toxic int, phrase string, n long").groupBy("phrase").agg(in_clean.alias("c"), in_toxic.alias("t"))
-    lexicon = Lexicon(kept, [r.phrase for r in odd.where("c >= 5 and t * 20 <= c").orderBy(F.desc("c"), "phrase").limit(MAX_EXCEPTIONS).collect()])
+    harmless = {r.phrase for r in odd.where((F.col("c") >= EXCEPTION) & (F.col("t") * RARE <= F.col("c"))).select("phrase").collect()}
+    lexicon = Lexicon(kept, fixed | harmless)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, n_hits, weight): the toxicity of every whole text, 0 to 1. Null and empty
-    texts have no match and get the score of no evidence. Repeated rows stay repeated."""
+    texts have no match and get the score of no evidence. Repeated rows stay repeated; of other columns than doc_id and
+    text nothing is read."""
 
     def make():
         def work(texts: list[str]) -> list[pa.Array]:
@@ -235,7 +251,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         return work
 
-    return map_texts(docs, make, "doc_id long, score double, n_hits long, weight double")
+    return map_texts(docs, make, "score double, n_hits long, weight double")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

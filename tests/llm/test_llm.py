@@ -21,11 +21,15 @@ SMALL = "/root/testdata/sf0.001"
 EDGE = [None, "", "   \n\t ", "a", "a", "word " * 30_000, "é😀 \x00 <|endoftext|> x", "+1 (555) 123-4567 at 10.0.0.1, a.b@c.de 4111 1111 1111 1111"]
 
 
+#: Columns whose names clash with those of joins, windows and generators inside the operators, or need quoting.
+CLASH = ["fp", "node", "full", "rest", "before", "end_bucket", "epoch", "n", "__n", "__order", "bucket", "doc", "row", "a.b", "score", "component_id"]
+
+
 def docs(spark, texts):
     """Documents with a null in every column, repeated rows and clashing extra columns."""
-    rows = [(i, t, "en" if i % 2 else None, f"src{i % 3}" if i % 5 else None, None if t is None else len(t), 1, "x") for i, t in enumerate(texts)]
-    rows += [rows[-1], (None, "no id", None, None, None, 2, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp long, node string")
+    rows = [(i, t, "en" if i % 2 else None, f"src{i % 3}" if i % 5 else None, None if t is None else len(t), *range(len(CLASH))) for i, t in enumerate(texts)]
+    rows += [rows[-1], (None, "no id", None, None, None, *[None] * len(CLASH))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASH))
 
 
 def none(spark):
@@ -176,11 +180,46 @@ def test_token_counts_and_cache(spark, tmp_path, monkeypatch):
 
 
 def test_fold_and_exceptions():
-    lex = toxicity.Lexicon({" trash ": 5.0, " moron": 6.0}, [" trash can "], (-6.0, 2.0, 1.0))
+    lex = toxicity.Lexicon({" trash ": 5.0, " moron": 6.0, " idiot ": 5.0}, [" trash can "], (-6.0, 3.0))
     assert lex.evidence("a m0r0n!")[1] == 1 and lex.evidence("мoron-like ТRASH")[1] == 2
     assert lex.evidence("the trash can, trash")[1] == 1
+    for said in ("idiot!", "you idiot!!!", "!idiot", "an id!ot", "1d!0t.", "IDIOT", "ídïot", "i\u200bdiot"):
+        assert lex.evidence(said)[:2] == (5.0, 1), said
     s = lex.scores([0.0, 5.0, 5.0], [0, 10, 10_000])
     assert s[0] < 0.1 and s[1] > s[2] > s[0]
+    long = "some words that say nothing much at all and then an idiot comes by and more words follow on " * 3
+    one, two = (lex.scores([t], [w])[0] for t, _, w in (lex.evidence(long), lex.evidence(long + long)))
+    assert math.isclose(one, two)
+
+
+def test_matches_by_plain_search():
+    r = random.Random(11)
+    weights, exceptions = {" ab ": 1.0, " ab": 0.5, " b": 2.0, " abba ": 3.0}, [" ab a ", " b b "]
+    lex = toxicity.Lexicon(weights, exceptions, (-2.0, 1.5))
+    for _ in range(400):
+        text = "".join(r.choice(["a", "b", " ", "!", "4", "ab", " b b ", "á"]) for _ in range(r.randint(0, 30)))
+        plain = "".join("i" if c == "!" and 0 < i < len(text) - 1 and text[i - 1] not in " !" and text[i + 1] not in " !" else " " if c == "!" else c for i, c in enumerate(text))
+        plain = " " + plain.lower().replace("4", "a").replace("á", "a") + " "
+        assert toxicity.fold(text) == plain
+        at = lambda t: [(i, i + len(t)) for i in range(len(plain)) if plain.startswith(t, i)]
+        cover = [x for e in exceptions for x in at(e)]
+        want = sorted((s, e, t) for t in weights for s, e in at(t) if not any(a <= s and e <= b for a, b in cover))
+        assert sorted(lex.matches(plain)) == want
+        total, words = sum(weights[t] for *_, t in want), len(plain.split())
+        assert lex.evidence(text) == (pytest.approx(total), len(want), words)
+        score = 1 / (1 + math.exp(2.0 - 1.5 * math.log1p(100 * total / max(20, words))))
+        assert lex.scores([total], [words])[0] == pytest.approx(score)
+
+
+def test_exceptions_are_learned(spark):
+    r = random.Random(12)
+    filler = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    rows = [(i, f"{filler()} you are trash said one {filler()}", 1) for i in range(60)] + [(100 + i, f"{filler()} trash collection was late {filler()}" if i < 10 else filler(), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    learned = set(lex.exceptions) - {f" {e} " for e in toxicity.EXCEPTIONS}
+    assert " trash " in lex.weights and " trash collection " in learned and " are trash " not in learned
+    assert lex.evidence("the trash collection")[1] == 0 and lex.evidence("so trash")[1] == 1 and lex.evidence("a trash can")[1] == 0
 
 
 def test_toxicity_held_out(spark):
@@ -188,7 +227,7 @@ def test_toxicity_held_out(spark):
     rows = toxicity.op1_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = [r.predicted for r in rows if r.toxic]
     wrong = [r.predicted for r in rows if not r.toxic]
-    assert sum(wrong) <= 0.02 * len(wrong) and sum(hit) >= 0.5 * len(hit)
+    assert sum(wrong) <= 0.02 * len(wrong) and sum(hit) >= 0.8 * len(hit)  # the others hold no word of the lexicon
 
 
 def test_toxicity_edges(spark):
@@ -237,7 +276,36 @@ def test_crf_on_held_out_passages():
         base, all_ = pii.spans_of(text, w)
         assert set(base) <= set(all_)
         right += [(pii.KINDS[k], s, e) for s, k, e in all_] == gold
-    assert right >= 0.85 * len(made)
+    assert right >= 0.93 * len(made)
+
+
+# Written by hand, not made by the generator of the training passages.
+SAID = [
+    ("address 10[.]0[.]0[.]1 is up", "address <IP> is up"), ("8[.]8[.]8[.]8", "<IP>"), ("192[.]168[.]100[.]200", "<IP>"),
+    ("bob (at) mail (dot) example (dot) org", "<EMAIL>"), ("write to " + "x" * 70 + " [at] example [dot] com now", "write to <EMAIL> now"), ("a [at] " + "y" * 60 + " [dot] com", "<EMAIL>"), ("jane.doe at mail dot com, please", "<EMAIL>, please"),
+    ("call 555_123_4567 now", "call <PHONE> now"), ("555\t123\t4567", "<PHONE>"), ("555,123,4567 today", "<PHONE> today"), ("tel. 0301 4567890", "tel. <PHONE>"), ("(555) 123-4567", "<PHONE>"), ("or 202-555-0143.", "or <PHONE>."),
+    ("4111.1111.1111.1111", "<CARD>"), ("paid by 4111_1111_1111_1111 ok", "paid by <CARD> ok"),
+    *((t, t) for t in ("1,234,567,890", "In 2019, 1,234,567 people", "look at me. Then", "meet at 5.30 dot", "In 1998, 2004, 2011 and", "ISBN 978-3-16-148410-0", "pi is 3.14159265358", "2019-12-31 12:30:45", "born 31.12.1999, died 01.02.2020", "total 100,000,000 and 200,000,000", "lat 48.8566, 2.3522", "3; 4; 5; 6; 7; 8; 9; 10; 11", "order 123456789", "12 345 678", "the dot at the end", "a cat (at) home")),
+]
+
+
+@pytest.mark.parametrize("text, want", SAID)
+def test_spans_written_by_hand(text, want):
+    assert pii.redact(text, pii.weights()) == want
+
+
+def test_places_lose_no_candidate():
+    """Added spans are those of decoding all that base spans leave, without a look for places first."""
+    w, r = pii.weights(), random.Random(13)
+    pieces = ["555", "12", "4567", "1", "0301", "-", ".", ",", " ", "  ", "\t", "_", "(", ")", "+", "[.]", "[at]", " at ", "(at)", " dot ", "(dot)", "[dot]", "bob", "mail", "com", "é", "²", "٣", "x" * 30, "4111 1111 1111 1111", "10.0.0.1", "a@b.de", "/", "\n", "%", " at at ", "Dot", "AT"]
+    made, n = [t for t, _ in pii.examples(seed=21, n=100)], 0
+    for _ in range(1500):
+        t = "".join(r.choice(pieces) if r.random() < 0.8 else r.choice(made) for _ in range(r.randint(0, 25)))
+        base = pii.base_spans(t)
+        want = [x for lo, hi in pii.gaps(t, base) for x in pii.decode(t, w, lo, hi, lo, hi)]
+        assert pii.added_spans(t, base, w) == want, t
+        n += len(want)
+    assert n > 300
 
 
 def test_decoding_by_brute_force():
@@ -294,8 +362,8 @@ def test_pii_edges_and_redaction(spark):
     rows = {r.doc_id: r for r in pii.find(docs(spark, EDGE)).collect()}
     assert (rows[7].n_email, rows[7].n_ip, rows[7].n_card, rows[7].n_phone) == (1, 1, 1, 1)
     assert rows[0].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
-    out = {r.doc_id: r for r in pii.redacted(docs(spark, EDGE), ("doc_id", "lang", "fp", "node")).collect()}
-    assert out[7].text == "<PHONE> at <IP>, <EMAIL> <CARD>" and out[0].text == "" and out[7].node == "x"
+    out = {r.doc_id: r for r in pii.redacted(docs(spark, EDGE), ("doc_id", "lang", "fp", "a.b")).collect()}
+    assert out[7].text == "<PHONE> at <IP>, <EMAIL> <CARD>" and out[0].text == "" and out[7]["a.b"] == CLASH.index("a.b")
     assert pii.find(none(spark)).count() == 0
 
 
@@ -343,29 +411,78 @@ def test_warc_of_no_pages(spark):
 # ---- mixing ----
 
 
-def test_budgets_fill_siblings_before_ancestors():
+def plain_budgets(leaves, total, weights, epochs):
+    """Water-filling by bisection: the share that makes siblings take what their parent has."""
+    able_of = {}
+
+    def capacity(node):
+        if node not in able_of:
+            kids = children(node)
+            able_of[node] = 0.0 if node and weights.get(node, 1.0) <= 0 else float(leaves[node] * epochs) if not kids else sum(capacity(c) for c in kids)
+        return able_of[node]
+
+    def children(node):
+        return sorted({p[: len(node) + 1] for p in leaves if len(p) > len(node) and p[: len(node)] == node}, key=str)
+
+    out = {}
+
+    def spread(node, budget):
+        kids = children(node)
+        if not kids:
+            out[node] = budget
+            return
+        budget = min(budget, capacity(node))
+        lo, hi = 0.0, 1.0
+        takes = lambda x: sum(min(capacity(c), max(0.0, weights.get(c, 1.0)) * x) for c in kids)
+        while takes(hi) < budget - 1e-9 and hi < 1e30:
+            hi *= 2
+        for _ in range(300):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if takes(mid) < budget else (lo, mid)
+        for c in kids:
+            spread(c, min(capacity(c), max(0.0, weights.get(c, 1.0)) * hi))
+
+    spread((), float(total))
+    return out
+
+
+def given(spark, leaves, total, weights, epochs):
+    df = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "domain string, lang string, source string, n long")
+    return {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, total, weights, epochs).collect()}
+
+
+def test_budgets_fill_siblings_before_ancestors(spark):
     leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("b", "y", "1"): 1000}
-    b = mixing.budgets(leaves, 200, {}, 1)
+    b = given(spark, leaves, 200, {}, 1)
     assert b[("a", "x", "1")] == 10 and b[("a", "x", "2")] == 90 and b[("b", "y", "1")] == 100
-    b = mixing.budgets(leaves, 400, {}, 1)
+    b = given(spark, leaves, 400, {}, 1)
     assert b[("a", "x", "2")] == 100 and b[("b", "y", "1")] == 290
-    assert mixing.budgets(leaves, 50, {("a",): 0.0}, 1)[("b", "y", "1")] == 50
-    assert math.isclose(sum(mixing.budgets(leaves, 1e9, {}, 3).values()), 3 * 1110)
+    assert given(spark, leaves, 50, {("a",): 0.0}, 1)[("b", "y", "1")] == 50
+    assert math.isclose(sum(given(spark, leaves, 1e9, {}, 3).values()), 3 * 1110)
 
 
-def test_mixing_by_brute_force(spark):
-    got = sorted(map(tuple, mixing.op6_mixing(spark, SMALL).collect()))
-    rows = [tuple(r) for r in shared.documents(spark, SMALL).select("doc_id", mixing.default_domain().alias("d"), "lang", "source", mixing.n_words().alias("n")).collect()]
+def test_budgets_by_bisection(spark):
+    r = random.Random(14)
+    for _ in range(6):
+        leaves = {(f"d{i}", r.choice([None, "en", "de"]), r.choice([None, "s", "t", "u"])): r.choice([0, 1, 7, 7, 50, 1000, 90_000]) for i in range(4) for _ in range(5)}
+        weights = {p[:k]: r.choice([0.0, 0.5, 1.0, 3.0]) for p in leaves for k in (1, 2, 3) if r.random() < 0.3}
+        total, epochs = r.choice([0, 10, 900, 40_000, 10**7]), r.choice([1, 3])
+        got, want = given(spark, leaves, total, weights, epochs), plain_budgets(leaves, total, weights, epochs)
+        assert set(got) == set(want) and all(math.isclose(got[p], want[p], rel_tol=1e-9, abs_tol=1e-5) for p in got)
+
+
+def plain_mix(spark, rows, share, epochs):
+    """(doc_id, domain, lang, source, epoch, tokens) of rows (doc_id, domain, lang, source, tokens), document by document."""
     leaves = collections.Counter()
     for _, d, lang, s, n in rows:
         leaves[d, lang, s] += n
-    given = mixing.budgets(leaves, 0.9 * sum(leaves.values()), mixing.WEIGHTS, 3)
+    budget = plain_budgets(leaves, share * sum(leaves.values()), mixing.WEIGHTS, epochs)
     ids, want = spark.createDataFrame([(r[0],) for r in rows], "doc_id long"), []
-    order = {(e, r.doc_id): r.h for e in range(3) for r in ids.select("doc_id", F.xxhash64(F.lit(20), F.lit(e), "doc_id").alias("h")).collect()}
+    order = {(e, r.doc_id): r.h for e in range(epochs) for r in ids.select("doc_id", F.xxhash64(F.lit(20), F.lit(e), "doc_id").alias("h")).collect()}
     for leaf in leaves:
-        left = math.floor(given[leaf] + 1e-6)
+        left = math.floor(budget[leaf] + 1e-6)
         own = [r for r in rows if r[1:4] == leaf]
-        for e in range(3):
+        for e in range(epochs):
             for r in sorted(own, key=lambda r: ((order[e, r[0]] % (1 << 64)) >> 52, order[e, r[0]], r[0])):
                 if left < r[4]:
                     left = -1
@@ -374,7 +491,15 @@ def test_mixing_by_brute_force(spark):
                 want.append((r[0], *leaf, e, r[4]))
             if left < 0:
                 break
-    assert got == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("leaves", [50_000, 0])
+def test_mixing_by_brute_force(spark, monkeypatch, leaves):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", leaves)
+    got = sorted(map(tuple, mixing.op6_mixing(spark, SMALL).collect()))
+    rows = [tuple(r) for r in shared.documents(spark, SMALL).select("doc_id", mixing.default_domain().alias("d"), "lang", "source", mixing.n_words().alias("n")).collect()]
+    assert got == plain_mix(spark, rows, 0.9, 3)
 
 
 def test_mixing_edges(spark):
@@ -411,7 +536,37 @@ def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = quality.op7_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where((F.crc32(F.col("doc_id").cast("string")) % 3 == 1) & ~F.col("base_failed")).collect()
     good, bad = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
-    assert sum(good) >= 0.93 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert sum(good) >= 0.93 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_paths_and_verdict_by_a_plain_walk(spark):
+    rng = np.random.default_rng(2)
+    forest = quality.Forest.grow(rng.normal(size=(500, len(quality.STATISTICS))), trees=20)
+
+    def walk(tree, x, node=0):
+        f = forest.feature[tree, node]
+        return forest.length[tree, node] if f < 0 else walk(tree, x, 2 * node + (1 if x[f] < forest.value[tree, node] else 2))
+
+    plain = lambda x: sum(walk(t, x) for t in range(20)) / 20
+    x = rng.normal(size=(50, len(quality.STATISTICS))) * 2
+    assert np.allclose(forest.path(x), [plain(v) for v in x])
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdefg#!") for _ in range(r.randint(1, 9))) for _ in range(r.choice((40, 60, 200)))) for _ in range(60)]
+    paths = [plain(quality.measure(t)[1]) for t in texts]
+    limit = sorted(paths)[30]
+    got = {x.doc_id: x for x in quality.judge(docs(spark, texts), quality.Verdict(forest, limit)).collect() if x.doc_id is not None}
+    for i, t in enumerate(texts):
+        want = plain_counts(t)
+        assert got[i].path == pytest.approx(paths[i])
+        assert got[i].kept == (not (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not paths[i] < limit)
+
+
+def test_repeated_labelled_documents_count_once(spark):
+    rows = [(i % 7, f"word{i} " * 60, 1) for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    a, b = (quality.learn(d, labels), quality.learn(d.orderBy(F.desc("text")), labels))
+    assert a.threshold == b.threshold
 
 
 def test_forest_sets_outliers_apart():

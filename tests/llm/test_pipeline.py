@@ -1,12 +1,10 @@
 """Stages of the pipeline, each against plain Python on its own input."""
 
 import corpus_pipeline as P
-from pyspark.sql import functions as F
+from test_llm import CLASH, SMALL, plain_mix
 
 from manuscript_spark.llm import mixing, pii, shared, simhash, toxicity
 
-SMALL = "/root/testdata/sf0.001"
-
 
 def test_stages(spark):
     docs = shared.documents(spark, SMALL)
@@ -38,25 +36,27 @@ def test_stages(spark):
             w = pii.weights()
             assert {(r.doc_id, r.text, r.n_chars) for r in after} == {(r.doc_id, pii.redact(r.text, w), len(pii.redact(r.text, w))) for r in before}
         elif name == "mixing":
-            n = lambda rows: sum(len(r.text.split()) for r in rows)
-            assert len({r.doc_id for r in after}) == len(after) and 0.6 * n(before) <= n(after) <= 0.9 * n(before) + 1
+            rows = [tuple(r) for r in spark.createDataFrame(before, docs.schema).select("doc_id", mixing.default_domain().alias("d"), "lang", "source", mixing.n_words().alias("n")).collect()]
+            assert sorted(r.doc_id for r in after) == sorted(r[0] for r in plain_mix(spark, rows, 0.9, 1))
         else:
             assert {r.doc_id for r in after} == {r.doc_id for r in before} and all(len(r.ids) == r.n_tokens for r in after)
+            assert sorted(map(tuple, P.run(spark, SMALL).collect())) == sorted(map(tuple, after))
 
 
 def test_run_and_edges(spark):
-    odd = [(1, None, None, None, None, "a"), (2, "", "en", "src1", 0, "b"), (2, "", "en", "src1", 0, "b"), (3, "w " * 40_000, "en", None, 80_000, None), (None, "no id", "en", "src2", 5, None)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, node string"
-    docs = spark.createDataFrame(odd, schema)
+    more = tuple(range(len(CLASH)))
+    odd = [(1, None, None, None, None, *more), (2, "", "en", "src1", 0, *more), (2, "", "en", "src1", 0, *more), (3, "w " * 40_000, "en", None, 80_000, *[None] * len(more)), (None, "no id", "en", "src2", 5, *more)]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *CLASH]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASH))
     lexicon = toxicity.Lexicon({" idiot ": 7.0})
     held = toxicity.learned
     toxicity.learned = lambda *a: lexicon
     try:
         for name, stage in P.STAGES[:-1]:
             docs = shared.written(stage(spark, docs, SMALL), "test-edge")
-            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+            assert docs.columns == columns
+            assert all(r["a.b"] in (None, CLASH.index("a.b")) and r["full"] in (None, CLASH.index("full")) for r in docs.collect())
             assert stage(spark, docs.where("false"), SMALL).count() == 0
         assert sorted(r.doc_id or 0 for r in docs.collect())[0] == 0
     finally:
         toxicity.learned = held
-    assert mixing.n_words is not None and F is not None
