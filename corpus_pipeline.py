@@ -1,6 +1,7 @@
 """A pipeline over documents: each stage gets the documents that the one before kept.
 
-Part of the subpackage llm: it calls its operators and nothing else.
+Part of the subpackage llm: it calls its operators and nothing else. Documents may have further columns
+with any names; every stage but the last returns all of them. No stage fails on an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from manuscript_spark.llm import bpe, mixing, pii, simhash, toxicity
-from manuscript_spark.llm.shared import documents, filter_texts, written
+from manuscript_spark.llm.shared import documents, filter_texts, named, packed, unpacked, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,29 +32,31 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of near duplicates the document with the smallest doc_id; of rows that repeat a
     doc_id one stays (by a hash of the text). Rows without a doc_id stay, as no id can name them."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    names = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.where("doc_id is not null").join(names, "doc_id", "left_semi")
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__n", one).where("__n = 1").drop("__n").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    names = found.where("component_id is not null").select(F.col("component_id").alias("name")).distinct()
+    rows = docs.select(packed(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    kept = rows.where("id is not null").join(names, F.col("id") == F.col("name"), "left_semi")
+    one = F.row_number().over(W.partitionBy("id").orderBy("tie"))
+    return kept.withColumn("n", one).where("n = 1").select("row").union(rows.where("id is null").select("row")).select(*unpacked(docs.columns))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every span of personal data replaced by its kind; n_chars follows the text.
-    A null text becomes an empty one."""
+    A null text becomes an empty one; repeated rows stay repeated."""
     out = pii.redacted(docs, tuple(c for c in docs.columns if c != "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    new = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*[new[c].alias(c) if c in new else named(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the words, dealt to domains, languages and sources by the weights of the query;
-    one epoch, so that a document comes at most once."""
-    return mixing.mix(docs, mixing.n_words(), share=0.9, weights=mixing.WEIGHTS, epochs=1).select([F.col(f"`{c}`") for c in docs.columns])
+    one epoch, so that a document comes at most once. Null lang and source are leaves of their own; documents
+    without words cost nothing; rows that tie in doc_id and words come in the order of a hash of the text."""
+    return mixing.mix(docs, mixing.n_words(), share=0.9, weights=mixing.WEIGHTS, epochs=1).select(*[named(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, with their number and digests."""
+    """The ids of each document, with their number and digests; a null or empty text has none. Very long texts are
+    encoded whole, repeated rows stay repeated, columns other than doc_id and text are left behind."""
     return bpe.encode(docs, bpe.tokenizer_path("word_bpe_49k.json"))
 
 
