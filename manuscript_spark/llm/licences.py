@@ -23,7 +23,8 @@ from .shared import documents
 
 #: Buckets of hashed n-grams.
 BUCKETS = 2048
-#: A paragraph is looked at if it holds one of these, in lower case.
+#: A paragraph is looked at if it holds one of these, in lower case. They are part of what a notice is: each template
+#: holds one, and a paragraph without any grants nothing, however many of a template's other words it has.
 ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "warrant", "spdx", "creative commons", "cc0", "cc by")
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: What begins a line of a wrapped notice: marks of comments and lists.
@@ -36,9 +37,9 @@ HYPHEN, FEED = rf"(?<=\p{{L}}-)[ \t\r]*\n{MARKS}(?=\p{{L}})", rf"(?<![ \t\r])[ \
 # What notices of each family say.
 TEMPLATES: dict[str, list[str]] = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "This project is licensed under the terms of the MIT license.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
     "bsd": ["Released under the BSD License.", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "You should have received a copy of the GNU General Public License along with this program."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "You should have received a copy of the GNU General Public License along with this program."],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.", "Released under the LGPL license"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", "This program is licensed under the terms of the GNU Affero General Public License.", "Released under the AGPL license"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "Released under the MPL 2.0 license"],
@@ -127,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
     and the looked-at paragraphs with family (null: unknown) and probability. A sentence over several lines is looked at
     joined and line by line: joined it counts if it gives a family that none of its lines gives, and then its lines of no
     family, and pieces of its notice that look like another's, don't count; else its lines that hold a licence word do. Repeated rows stay repeated; a text without
-    licence words has no paragraphs."""
+    licence words has no paragraphs. Very long texts are looked at whole; of other columns than doc_id and text nothing is read."""
     w, threshold = model()
     weights = F.from_json(F.lit(json.dumps(w[:-1].tolist())), "array<array<double>>")
     bias = F.from_json(F.lit(json.dumps(w[-1].tolist())), "array<double>")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window as W
 
 #: Bits of a code, substrings, rows of the sample that the rotation and the radius are fitted on.
 BITS, PARTS, SAMPLE, SEED = 256, 16, 6000, 5
-#: Share of a sample query's true neighbours that the radius shall cover.
-COVER = 0.96
+#: Queries whose true neighbours among all rows give the radius, and the share of these that it shall cover.
+ASKED, COVER = 300, 0.96
 #: Rows and queries of a grid cell, at most on average.
 ROW_BLOCK, QUERY_BLOCK = 16384, 4096
 
@@ -47,9 +48,8 @@ class Codes:
         return np.packbits((v - self.mean) @ self.rotation > 0, axis=1).view(np.uint16)
 
 
-def fit(x: np.ndarray, norm: float, k: int) -> Codes:
-    """Learn the rotation on a sample, and the radius from the sample's own k nearest neighbours
-    (farther than those among all rows, so that it errs on the side of a larger radius)."""
+def fit(x: np.ndarray, norm: float) -> Codes:
+    """Learn the rotation on a sample. The radius is still that of all codes."""
     rng = np.random.default_rng(SEED)
     codes = Codes(np.zeros(x.shape[1] + 1), np.zeros((x.shape[1] + 1, BITS)), norm, BITS)
     v = codes.lift(x)
@@ -68,30 +68,65 @@ def fit(x: np.ndarray, norm: float, k: int) -> Codes:
             r = (u @ vt).T
         blocks.append(p @ r)
     codes.rotation = np.concatenate(blocks, 1)[:, :BITS]
-    if len(x) > 2:
-        q = x[rng.choice(len(x), min(300, len(x)), replace=False)]
-        near = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
-        a, b = codes.encode(q, True), codes.encode(x)
-        dist = np.sort(np.bitwise_count(a[:, None, :] ^ b[near]).sum(2, dtype=np.int32).ravel())
-        codes.radius = int(dist[min(len(dist) - 1, math.ceil(COVER * len(dist)))])
     return codes
 
 
+def radius(v: DataFrame, codes: Codes, ids: np.ndarray, q: np.ndarray, k: int) -> int:
+    """The Hamming radius that covers a share of the k nearest rows of some queries, found among all rows (vec_id, v): each
+    batch gives its own k best of every query, so that little is shuffled. The more rows there are, the nearer
+    their neighbours and the smaller the radius."""
+    asked = codes.encode(q, True)
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            x, own = np.array(part["v"].to_list()), part["vec_id"].to_numpy()
+            s = q @ x.T
+            s[ids[:, None] == own[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            apart = np.bitwise_count(asked[:, None, :] ^ codes.encode(x)[top]).sum(2, dtype=np.int32)
+            out = pd.DataFrame({"q": np.repeat(np.arange(len(q)), top.shape[1]), "score": np.take_along_axis(s, top, 1).ravel(), "apart": apart.ravel()})
+            yield out[np.isfinite(out["score"])]
+
+    found = v.select("vec_id", "v").mapInPandas(best, "q int, score double, apart int")
+    nearest = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "apart"))).where(F.col("r") <= k)
+    apart = sorted(r.apart for r in nearest.select("apart").collect())  # ASKED times k at most
+    return apart[min(len(apart) - 1, math.ceil(COVER * len(apart)))] if apart else BITS
+
+
+@lru_cache(maxsize=4)
+def ball(radius: int) -> np.ndarray:
+    """What a 16-bit value is changed by within a radius."""
+    masks = np.arange(1 << 16, dtype=np.uint32).astype(np.uint16)
+    return masks[np.bitwise_count(masks) <= radius]
+
+
 class Index:
-    """Multi-index over the codes of a block of rows: for each substring its values and the rows that have each."""
+    """Multi-index over the codes of a block of rows: for each substring a table from its values to the rows that have each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.order = [np.argsort(codes[:, p], kind="stable") for p in range(PARTS)]
         self.values = [np.unique(codes[:, p], return_counts=True) for p in range(PARTS)]
+        self.starts = [np.searchsorted(codes[o, p], np.arange((1 << 16) + 1)) for p, o in enumerate(self.order)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes differ from a code in at most `radius` bits."""
         hit = np.zeros(len(self.codes), bool)
+        masks = ball(radius // PARTS)
         for p in range(PARTS):
             values, counts = self.values[p]
-            near = np.bitwise_count(values ^ code[p]) <= radius // PARTS  # the ball around the query's substring, as far as it has rows
-            hit[self.order[p][np.repeat(near, counts)]] = True
+            if len(masks) < len(values):  # look the values of the ball up
+                near = masks ^ code[p]
+                first, last = self.starts[p][near], self.starts[p][near.astype(np.int64) + 1]
+                some = last > first
+                first, size = first[some], (last - first)[some]
+                at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else first, size) + np.arange(size.sum())
+                hit[self.order[p][at]] = True
+            else:  # the ball is larger than what there is: which of the values lie in it
+                near = np.bitwise_count(values ^ code[p]) <= radius // PARTS
+                hit[self.order[p][np.repeat(near, counts)]] = True
         rows = np.flatnonzero(hit)
         apart = np.bitwise_count(self.codes[rows].view(np.uint64) ^ code.view(np.uint64)).sum(1, dtype=np.int32)
         return rows[apart <= radius]
@@ -110,7 +145,7 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
 
     Rows that are null, zero, hold null or non-finite components, have no vec_id or another dimension
     than most rows take no part; of rows that repeat a vec_id with the same vector one takes part.
-    Rows and queries meet in blocks: every cell of the grid holds a bounded number of both.
+    Other columns are not read. Rows and queries meet in blocks: every cell of the grid holds a bounded number of both.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
@@ -123,8 +158,12 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     n, n_queries = most.n, max(1, v.where(queries).count())
     share = min(1.0, SAMPLE / n)
     unit = F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1_000_003)) / 1_000_003
-    sample = np.array([r.v for r in v.where(unit < share).orderBy("vec_id").limit(2 * SAMPLE).collect()])
-    codes = fit(sample if len(sample) else np.ones((1, most.d)), math.sqrt(most.m), k)
+    picked = v.where(unit < share).orderBy("vec_id").limit(2 * SAMPLE).collect()
+    sample, ids = np.array([r.v for r in picked]).reshape(-1, most.d), np.array([r.vec_id for r in picked], np.int64)
+    codes = fit(sample if len(sample) else np.ones((1, most.d)), math.sqrt(most.m))
+    if n > 2 and len(sample):
+        few = np.random.default_rng(SEED).choice(len(sample), min(ASKED, len(sample)), replace=False)
+        codes.radius = radius(v, codes, ids[few], sample[few], k)
     row_blocks, query_blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
     rb, qb = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(row_blocks)).cast("int"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(query_blocks)).cast("int")
     rows = v.select(rb.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "vec_id", "v")

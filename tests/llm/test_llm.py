@@ -583,7 +583,7 @@ def test_index_finds_every_code_within_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 16, (400, neighbours.PARTS)).astype(np.uint16)
     q = codes[0] ^ np.array([1] * 3 + [0] * (neighbours.PARTS - 3), np.uint16)
-    for radius in (3, 40, 110, 125):
+    for radius in (3, 16, 40, 64, 110, 125):
         d = np.bitwise_count(codes ^ q).sum(1)
         assert neighbours.Index(codes).within(q, radius).tolist() == np.flatnonzero(d <= radius).tolist()
 
@@ -654,7 +654,30 @@ def test_wrapped_licences(spark):
     want[len(rows) - 1] = "apache,mit"
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert {i: r.licences for i, r in got.items()} == want
-    assert all(got[i].n_licences == 2 for i in (0, 1, 3, 8, 9, 11))  # the notices of MIT and Apache
+    assert all(got[i].n_licences == 3 for i in (0, 1, 3)) and all(got[i].n_licences == 2 for i in (8, 9, 11))  # the notices of MIT and Apache
+
+
+def test_every_template_holds_a_licence_word():
+    for templates in licences.TEMPLATES.values():
+        assert all(any(a in t.lower() for a in licences.ANCHORS) for t in templates)
+
+
+# Not made from templates, and cut as texts are found: what grants a licence, and what only talks of one.
+FOUND = [
+    ("My tool\n\nThis project is licensed under the terms of the MIT license; see LICENSE\nfor details.\n", "mit"),
+    ("This file is part of Foo.\n\nThis program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the\nFree Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n", "gpl"),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "mpl"),
+    ("Except where otherwise noted, this work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("// SPDX-License-Identifier: Apache-2.0\nint main() {}", "apache"),
+    ("The board said that licences for the new harbour would be granted in spring.\nA warranty was not given.", ""),
+    ("Her licence was taken away. The copyright of the picture is a matter of debate,\nand the public domain has its friends.", ""),
+    ("We compared how courts read software licences in ten countries.", ""),
+]
+
+
+def test_licences_found_in_the_wild(spark):
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FOUND)], "doc_id long, text string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(FOUND)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
