@@ -3,8 +3,9 @@
 Vectors get binary codes: the signs of a learned rotation (iterative quantisation on the principal
 axes). A code is split into substrings, each with an index from its values to the rows that have it.
 Codes within a Hamming radius of the query's agree with it in some substring up to the radius over
-the number of substrings (pigeonhole), so looking up that ball of values in every substring's index
-finds all of them; what lies within the radius is ranked by the vectors themselves.
+the number of substrings, or one bit less in the substrings behind the division's remainder (pigeonhole), so looking
+up that ball of values in every substring's index finds all of them; what lies within the radius is ranked by the
+vectors themselves.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def radius(v: DataFrame, codes: Codes, ids: np.ndarray, q: np.ndarray, k: int) -
     return apart[min(len(apart) - 1, math.ceil(COVER * len(apart)))] if apart else BITS
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def ball(radius: int) -> np.ndarray:
     """What a 16-bit value is changed by within a radius."""
     masks = np.arange(1 << 16, dtype=np.uint32).astype(np.uint16)
@@ -114,8 +115,12 @@ class Index:
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes differ from a code in at most `radius` bits."""
         hit = np.zeros(len(self.codes), bool)
-        masks = ball(radius // PARTS)
         for p in range(PARTS):
+            # codes that are farther in every substring than this differ in more than `radius` bits in all
+            reach = radius // PARTS - (p > radius % PARTS)
+            if reach < 0:
+                continue
+            masks = ball(reach)
             values, counts = self.values[p]
             if len(masks) < len(values):  # look the values of the ball up
                 near = masks ^ code[p]
@@ -125,7 +130,7 @@ class Index:
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else first, size) + np.arange(size.sum())
                 hit[self.order[p][at]] = True
             else:  # the ball is larger than what there is: which of the values lie in it
-                near = np.bitwise_count(values ^ code[p]) <= radius // PARTS
+                near = np.bitwise_count(values ^ code[p]) <= reach
                 hit[self.order[p][np.repeat(near, counts)]] = True
         rows = np.flatnonzero(hit)
         apart = np.bitwise_count(self.codes[rows].view(np.uint64) ^ code.view(np.uint64)).sum(1, dtype=np.int32)
