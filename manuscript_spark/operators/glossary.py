@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.spans import greedy_cover, matches
+from ..functions.spans import greedy_cover, matches, one_row
 from ..functions.text import MATCH_STOP, fold, jaccard, tokens_of_folded
 
 THRESHOLD = 0.75
@@ -77,16 +77,19 @@ def near_misses(docs: DataFrame, terms: DataFrame, threshold: float = THRESHOLD)
     tok = F.filter(
         F.transform(matches("text", r"[\p{L}\p{N}\p{M}]+"), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["text"])).alias("end"), m["text"].alias("raw"))), lambda x: F.length(x["raw"]) > 0
     )
-    d = docs.select("doc_id", "text", tok.alias("tok")).where(F.size("tok") > 0)
+    d = one_row(docs, ["doc_id", "text"], tok=tok).where(F.size("tok") > 0)
     # one fold for each document: the joined tokens, cut apart again
-    d = d.withColumn("norm", F.split(fold(F.array_join(F.transform("tok", lambda x: x["raw"]), "\n")), "\n"))
+    norm = F.split(fold(F.array_join(F.transform("tok", lambda x: x["raw"]), "\n")), "\n")
     around = lambda x: (F.substring(F.col("text"), x["start"], F.lit(1)) == "(") & (F.substring(F.col("text"), x["end"] + 1, F.lit(1)) == ")") & (x["start"] > 0)
-    d = d.withColumn("par", F.transform("tok", around))
-    w = d.select("doc_id", "tok", "norm", "par", F.explode(F.sequence(F.lit(1), F.lit(longest + 1))).alias("n")).where(F.col("n") <= F.size("tok"))
-    w = w.select("doc_id", "n", "tok", "norm", "par", F.explode(F.sequence(F.lit(1), F.size("tok") - F.col("n") + 1)).alias("i"))
-    words, flags = F.slice("norm", F.col("i"), F.col("n")), F.slice("par", F.col("i"), F.col("n"))
+    each = F.zip_with("tok", "norm", lambda x, w: F.struct(x["start"].alias("start"), x["end"].alias("end"), w.alias("norm"), around(x).alias("par")))
+    d = one_row(d.withColumn("norm", norm), ["doc_id"], each=each)
+    # from each token as many as a window may hold, so that no row carries the whole document
+    w = d.select("doc_id", F.posexplode(F.transform("each", lambda x, i: F.slice("each", i + 1, F.lit(longest + 1)))).alias("i", "ahead"))
+    w = w.select("doc_id", (F.col("i") + 1).alias("i"), "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"))
+    window = F.slice("ahead", F.lit(1), F.col("n"))
+    words, flags = F.transform(window, lambda x: x["norm"]), F.transform(window, lambda x: x["par"])
     phrase = F.filter(F.zip_with(words, flags, lambda a, p: F.when(~p, a)), lambda x: x.isNotNull())
-    w = w.select("doc_id", "n", "i", F.element_at("tok", F.col("i"))["start"].alias("start"), F.element_at("tok", F.col("i") + F.col("n") - 1)["end"].alias("end"), phrase.alias("phrase")).withColumn("key", F.array_join("phrase", " "))
+    w = w.select("doc_id", "n", "i", F.element_at("ahead", 1)["start"].alias("start"), F.element_at("ahead", F.col("n"))["end"].alias("end"), phrase.alias("phrase")).withColumn("key", F.array_join("phrase", " "))
     w = w.where("key <> ''")
     keys = hint(accepted.select("key"))
     right = w.where(F.col("n") <= longest).join(keys, "key", "left_semi")

@@ -175,7 +175,7 @@ def fx_run_budget(spark, d):
 @fixture("account, seq, wait_ms", [("a", 1, 0.0), ("a", 2, 30000.0), ("a", 3, 60000.0)])
 def fx_token_bucket(spark, d):
     r = spark.createDataFrame([("a", 1, 0, 6000), ("a", 2, 0, 6000), ("a", 3, 30000, 9000)], "account string, seq int, arrival int, tokens int")
-    return adjudicate.token_bucket(r)
+    return adjudicate.token_bucket(r).select("account", "seq", "wait_ms")
 
 
 @fixture("request_id, verdict, finding", [("1", "unsupported", True), ("2", "unsupported", False), ("3", "supported", False), ("4", None, False), ("5", None, False)])
