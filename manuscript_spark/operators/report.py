@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import language, sha256, word_count
+from .adjudicate import methodology_input
 from .claims import OVERCLAIM_CAP, contradictions, overclaims
 from .references import check_floats, check_references, gates
 
@@ -19,6 +21,24 @@ CHECKS = [
     ("overclaim", "claim", "overclaims"), ("internal-contradiction", "claim", "contradictions"), ("claim-unsupported", "claim", "claim-source"), ("methodology-gap", "claim", "methodology"),
 ]
 Z = 1.96
+#: What a finding says: words, with names of columns in braces.
+MESSAGES = {
+    "near-miss-term": 'Reads "{quoted_span}", close to the glossary\'s "{source_ref}" but not the same.',
+    "citation-not-found": "No registry knows {source_ref}.",
+    "citation-mismatch": "What is said around {source_ref} names neither title, author nor year of the work it leads to.",
+    "retracted-citation": "{source_ref} has been withdrawn.",
+    "cited-not-listed": "The text cites number {source_ref}, which the list lacks.",
+    "listed-not-cited": "Nothing in the text cites entry {source_ref}.",
+    "duplicate-reference": "Entry {source_ref} is listed before.",
+    "reference-missing-year": "Entry {source_ref} gives no year.",
+    "float-never-referenced": "No text points at {source_ref}.",
+    "float-missing": "The text points at {source_ref}, which has no caption.",
+    "summary-drift": 'The summary says "{quoted_span}", the text does not.',
+    "overclaim": "Strong wording ({source_ref}): is it borne out?",
+    "internal-contradiction": "Two values for {source_ref}: {quoted_span}.",
+    "claim-unsupported": "{source_ref}, cited for this, says otherwise.",
+    "methodology-gap": "A gap in the methods: {source_ref}.",
+}
 
 
 def checks_table(spark) -> DataFrame:
@@ -51,15 +71,66 @@ def run_counters(docs: DataFrame, findings: DataFrame, overclaim_cap: int = OVER
     return out.fillna(0, [c.replace("-", "_") for c, _, _ in CHECKS] + ["findings", "overclaim_truncated"])
 
 
-def layer_breakdown(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(doc_id, layer, findings, status): every layer of every document, silent ones too; references abstain where their gate says so."""
+def message() -> Column:
+    """The wording of a finding (check, quoted_span, source_ref)."""
+    out = F.lit(None).cast("string")
+    for check, text in MESSAGES.items():
+        said = F.lit(text)
+        for name in ("quoted_span", "source_ref"):
+            said = F.replace(said, F.lit("{" + name + "}"), F.coalesce(F.col(name), F.lit("")))
+        out = F.when(F.col("check") == check, said).otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What a review was given; layers without what they need are inactive."""
+
+    terms: bool = False
+    registries: bool = False
+    brief: bool = False
+    claim_verdicts: bool = False
+    methodology_verdicts: bool = False
+
+
+def layer_breakdown(docs: DataFrame, findings: DataFrame, given: Inputs = Inputs()) -> DataFrame:
+    """(doc_id, layer, findings, status, reason): every layer of every document, silent ones too. skipped: the document's language,
+    or no summary; inactive: an input is missing; abstained: the document doesn't support the check; else ran, with reason null."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dim = checks_table(docs.sparkSession)
     n = findings.join(F.broadcast(dim.select("check", "layer")), "check").groupBy("doc_id", "layer").agg(F.count("*").alias("n"))
     layers = F.array(*[F.lit(x) for x in sorted({layer for _, _, layer in CHECKS})])
-    grid = docs.select("doc_id", language("text").alias("lang"), F.explode(layers).alias("layer"))
-    x = grid.join(n, ["doc_id", "layer"], "left").join(gates(docs).select("doc_id", F.col("skipped_reason").alias("why")), "doc_id", "left")
-    status = F.when(F.col("lang") != "en", "skipped").when((F.col("layer") == "references") & F.col("why").isNotNull(), "abstained").when(F.col("layer").isin("claim-source", "methodology"), "inactive").otherwise("ran")
-    return x.select("doc_id", "layer", F.coalesce("n", F.lit(0)).cast("long").alias("findings"), status.alias("status"))
+    grid = docs.select("doc_id", language(F.coalesce("text", F.lit(""))).alias("lang"), F.explode(layers).alias("layer"))
+    x = grid.join(n, ["doc_id", "layer"], "left").join(gates(docs).select("doc_id", F.col("skipped_reason").alias("list_why")), "doc_id", "left")
+    if given.methodology_verdicts:
+        x = x.join(methodology_input(docs).select("doc_id", F.col("skipped_reason").alias("method_why")), "doc_id", "left")
+    else:
+        x = x.withColumn("method_why", F.lit(None).cast("string"))
+    layer, why = F.col("layer"), F.lit(None).cast("string")
+    missing = {"terminology": (given.terms, "no glossary"), "citations": (given.registries, "no registries"), "claim-source": (given.claim_verdicts, "no verdicts"), "methodology": (given.methodology_verdicts, "no verdicts")}
+    why = F.when(layer == "references", F.col("list_why")).when(layer == "methodology", F.col("method_why"))
+    status = F.when(why.isNotNull(), "abstained").otherwise("ran")
+    if not given.brief:
+        status, why = F.when(layer == "consistency", "skipped").otherwise(status), F.when(layer == "consistency", "no summary").otherwise(why)
+    for name, (there, reason) in missing.items():
+        if not there:
+            status, why = F.when(layer == name, "inactive").otherwise(status), F.when(layer == name, reason).otherwise(why)
+    other = F.col("lang") != "en"
+    return x.select("doc_id", "layer", F.coalesce("n", F.lit(0)).cast("long").alias("findings"), F.when(other, "skipped").otherwise(status).alias("status"), F.when(other, "language").otherwise(why).alias("reason"))
+
+
+def check_breakdown(docs: DataFrame, findings: DataFrame, given: Inputs = Inputs()) -> DataFrame:
+    """(doc_id, check, category, findings, status, reason): every check of every document, with the state of its layer."""
+    dim = checks_table(docs.sparkSession)
+    n = findings.groupBy("doc_id", "check").agg(F.count("*").alias("n"))
+    state = layer_breakdown(docs, findings, given).drop("findings")
+    x = state.join(F.broadcast(dim.select("check", "category", "layer")), "layer").join(n, ["doc_id", "check"], "left")
+    return x.select("doc_id", "check", "category", F.coalesce("n", F.lit(0)).cast("long").alias("findings"), "status", "reason")
+
+
+def top_samples(findings: DataFrame, by: str, order: list[str], n: int = 12) -> DataFrame:
+    """The first n findings of each group, with their place."""
+    return findings.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("place") <= n)
 
 
 def addresses(findings: DataFrame) -> DataFrame:
@@ -144,6 +215,6 @@ def history_kept(runs: DataFrame, cap: int = 500) -> DataFrame:
 
 def run_id(ts: Column, seq: Column, content: Column) -> Column:
     """YYYYMMDDhhmmssmmm-seq-hash4."""
-    return F.concat_ws("-", F.date_format(ts, "yyyyMMddHHmmssSSS"), F.lpad(seq.cast("string"), 4, "0"), F.substring(sha256(content), 1, 4))
+    return F.concat_ws("-", F.date_format(ts, "yyyyMMddHHmmssSSS"), F.when(seq < 10_000, F.lpad(seq.cast("string"), 4, "0")).otherwise(seq.cast("string")), F.substring(sha256(content), 1, 4))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.spans import bind, exploded, placed
+from ..functions.spans import bind, containing, exploded, placed
 from ..functions.text import WS, B, E, flow, word_count
 
 # Abbreviations after which a full stop ends no sentence.
@@ -111,6 +114,11 @@ def serialized(blocks: DataFrame, text: str = "text") -> DataFrame:
     return blocks.withColumn("start", start.cast("int")).withColumn("end", (start + F.length(text)).cast("int"))
 
 
+def text_length(blocks: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, chars): the length of a document's blocks when all are joined by blank lines."""
+    return blocks.groupBy("doc_id").agg((F.sum(F.length(text) + 2) - 2).alias("chars"))
+
+
 def block_text(blocks: DataFrame) -> DataFrame:
     """The text of each block: list items by line, table cells by tab and line, an image's caption."""
     rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n")
@@ -118,6 +126,51 @@ def block_text(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("plain", text)
 
 
+def rebased(findings: DataFrame, blocks: DataFrame) -> DataFrame:
+    """findings (doc_id, span_start, span_end, ...) of the serialised text with block_no and the span's place in its block.
+    blocks: as `serialized` gives them. Findings that begin between blocks or reach over the edge of one drop out."""
+    x = containing(findings, blocks.select("doc_id", "block_no", "start", "end"), "doc_id", "span_start").where(F.col("span_end") <= F.col("end"))
+    return x.select(*findings.columns, "block_no", (F.col("span_start") - F.col("start")).alias("start"), (F.col("span_end") - F.col("start")).alias("end"))
+
+
+#: Of inline markup: a tag, an entity that stands for one character, or a character.
+INLINE = re.compile(r"<[^>]*>|&(?:[a-zA-Z]+|#[0-9]+|#[xX][0-9a-fA-F]+);|.", re.S)
+
+
+def mark_spans(html: str, spans: list[tuple[int, int, str]]) -> str:
+    """html with <mark data-addr> around spans (start, end, address) of its plain text. A span that overlaps the one before
+    it in order of start is left out. A mark is closed before a tag and opened again behind it; an entity isn't cut."""
+    spans = sorted((s for s in spans if s[1] > s[0]), key=lambda s: s[0])
+    spans = [s for i, s in enumerate(spans) if not i or s[0] >= spans[i - 1][1]]
+    of = {}
+    for start, end, addr in spans:
+        of.update(dict.fromkeys(range(start, end), f'<mark data-addr="{addr}">'))
+    out, at, now = [], 0, None
+    for m in INLINE.finditer(html):
+        tag = m[0][0] == "<" and m[0][-1] == ">" and len(m[0]) > 1
+        want = None if tag else of.get(at)
+        if want != now:
+            out.append(("</mark>" if now else "") + (want or ""))
+            now = want
+        out.append(m[0])
+        at += not tag
+    return "".join(out) + ("</mark>" if now else "")
+
+
+def marked_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """blocks (doc_id, block_no, type, text) with marks: spans (doc_id, block_no, start, end, address), as `rebased` places
+    them. Only paragraphs, headings and quotes are marked."""
+
+    @F.pandas_udf("string")
+    def insert(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or f is None else mark_spans(t, [(s["start"], s["end"], s["address"]) for s in f]) for t, f in zip(text, found)], dtype=object)
+
+    s = spans.groupBy(F.col("doc_id").alias("s_doc"), F.col("block_no").alias("s_block")).agg(F.collect_list(F.struct("start", "end", "address")).alias("spans"))
+    x = blocks.join(s, (F.col("doc_id") == F.col("s_doc")) & (F.col("block_no") == F.col("s_block")), "left")
+    there = F.col("type").isin("paragraph", "heading", "quote") & F.col("spans").isNotNull()
+    return x.withColumn("text", F.when(there, insert("text", "spans")).otherwise(F.col("text"))).select(*blocks.columns)
+
+
 def truncate_blocks(blocks: DataFrame, limit: int = 2_000_000) -> DataFrame:
     """Whole blocks while their lengths (and two for each joint) fit the limit; a first block that is
     too long itself is cut at the last space behind the middle, else hard."""

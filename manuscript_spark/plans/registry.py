@@ -310,11 +310,12 @@ def run_counters(spark, d):
     return report.run_counters(papers, report.deterministic_findings(papers)).select("doc_id", "cited_not_listed", "listed_not_cited", "reference_missing_year")
 
 
-@query(f"""WITH {M.CITING} SELECT doc_id, 'references' AS layer, CASE WHEN why IS NULL THEN 'ran' ELSE 'abstained' END AS status FROM gate UNION ALL
-SELECT doc_id, unnest(['terminology', 'citations', 'floats', 'consistency', 'overclaims', 'contradictions']), 'ran' FROM doc UNION ALL SELECT doc_id, unnest(['claim-source', 'methodology']), 'inactive' FROM doc""")
+@query(f"""WITH {M.CITING} SELECT doc_id, 'references' AS layer, CASE WHEN why IS NULL THEN 'ran' ELSE 'abstained' END AS status, why AS reason FROM gate UNION ALL
+SELECT doc_id, 'terminology', 'inactive', 'no glossary' FROM doc UNION ALL SELECT doc_id, 'citations', 'inactive', 'no registries' FROM doc UNION ALL SELECT doc_id, 'consistency', 'skipped', 'no summary' FROM doc UNION ALL
+SELECT doc_id, unnest(['floats', 'overclaims', 'contradictions']), 'ran', NULL FROM doc UNION ALL SELECT doc_id, unnest(['claim-source', 'methodology']), 'inactive', 'no verdicts' FROM doc""")
 def layer_breakdown(spark, d):
     papers = M.citing(spark, d)
-    return report.layer_breakdown(papers, report.deterministic_findings(papers)).select("doc_id", "layer", "status")
+    return report.layer_breakdown(papers, report.deterministic_findings(papers)).select("doc_id", "layer", "status", "reason")
 
 
 @query("""WITH o AS (SELECT quality = 1 AS e, toxic = 1 AS v FROM labels), c AS (SELECT count(*) FILTER (WHERE e AND v) AS tp, count(*) FILTER (WHERE NOT e AND v) AS fp, count(*) FILTER (WHERE e AND NOT v) AS fn, count(*) FILTER (WHERE NOT e AND NOT v) AS tn FROM o)
@@ -376,6 +377,10 @@ def staleness(spark, d):
 
 
 from . import fixtures as _fixtures  # noqa: E402
+from . import tables as _tables  # noqa: E402
+
+QUERIES |= _tables.QUERIES
+SQL |= _tables.SQL
 
 for _name, (_make, _sql) in _fixtures.QUERIES.items():
     QUERIES[_name] = _make

@@ -1,9 +1,11 @@
+import json
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from manuscript_spark import review as R
 from manuscript_spark.functions import spans
 from manuscript_spark.functions import text as T
 from manuscript_spark.operators import adjudicate, citations, geometry, report, structure
@@ -119,3 +121,92 @@ def test_glossary_file(spark, tmp_path):
     assert [tuple(r)[:3] for r in files.glossary(spark, str(p)).collect()] == [("a", "A b", "d")]
     p.write_text('[{"term": "Q r", "slug": "q", "variants": ["v"]}]')
     assert [tuple(r) for r in files.glossary(spark, str(p)).collect()] == [("q", "Q r", "", ["v"])]
+
+
+def test_starts_over_many_blocks(spark):
+    for n in (0, 1, 63, 64, 65, 128, 1000, 5000):
+        sizes = [(i * 7) % 13 for i in range(n)]
+        got = spark.createDataFrame([(sizes,)], "s array<int>").select(spans.starts(F.col("s")).alias("x")).first().x
+        want = [sum(sizes[:i]) for i in range(n)] if n < 200 else [0]
+        assert len(got) == n and got[: len(want)] == want[:n] and all(b - a == s for a, b, s in zip(got, got[1:], sizes))
+
+
+def test_marks_keep_markup_whole(spark):
+    m = structure.mark_spans
+    assert m("a <b>bold</b> word", [(2, 11, "1")]) == 'a <b><mark data-addr="1">bold</mark></b><mark data-addr="1"> word</mark>'
+    assert m("x &amp; y", [(2, 3, "7")]) == 'x <mark data-addr="7">&amp;</mark> y'
+    assert m("abcdef", [(0, 3, "1"), (2, 4, "2"), (4, 5, "3")]) == '<mark data-addr="1">abc</mark>d<mark data-addr="3">e</mark>f'
+    assert m("abc", [(2, 2, "1"), (5, 9, "2")]) == "abc" and m("", [(0, 1, "1")]) == ""
+
+
+def test_jsonl_skips_blank_lines(spark, tmp_path):
+    p = tmp_path / "c.jsonl"
+    p.write_text('{"doc_id": 1, "text": "a"}\n\n{"doc_id": 2, "text": "b"}\n')
+    assert sorted((r.doc_id, r.text) for r in files.jsonl(spark, str(p), "doc_id long, text string").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_contradictions_by_plain_loops(spark):
+    import random
+
+    r = random.Random(5)
+    docs_ = [(i, " ".join(f"Run {r.randint(0, 3)} came to {r.choice(['50', '50.4', '50.6', '61', '72.5'])}% {r.choice(['recall', 'precision'])} over all that was made ready for it in the whole of the last year by us." for _ in range(r.randint(0, 14)))) for i in range(12)]
+    from manuscript_spark.operators import claims
+
+    df = spark.createDataFrame(docs_, "doc_id long, text string")
+    got = sorted(tuple(x) for x in claims.contradictions(df).select("doc_id", "rank", "a_start", "b_start", "metric", "a_value", "b_value").collect())
+    want = []
+    for i, _ in docs_:
+        m = sorted((x.start, x.at, x.metric, x.value, x.sentence) for x in claims.number_mentions(df.where(F.col("doc_id") == i)).collect())
+        seen, out = set(), []
+        for a in range(len(m)):
+            for b in range(a + 1, len(m)):
+                (s, _, k, v, t), (s2, _, k2, v2, t2) = m[a], m[b]
+                rounding = abs(v - v2) < 0.5 and int(v + 0.5) == int(v2 + 0.5)
+                if k == k2 and v != v2 and not rounding and t != t2 and (s, s2, k) not in seen:
+                    seen.add((s, s2, k))
+                    out.append((i, len(out) + 1, s, s2, k, v, v2))
+        want += out[:15]
+    assert got == sorted(want)
+
+
+PAPER = "Introduction\nA later study by Vega et al. [2] measured how adaptive joins reduce the total shuffle volume across many large clusters doi:10.1000/p6. The index always returns every matching row quickly. The run reached 91.4% recall on the set. A later run reached 88.0% recall on the set.\n\nMethods\n" + "We ran the engine on many inputs and counted every row. " * 20 + "\n\nReferences\n[1] A. One, First notes on sorted storage, 2019.\n[2] B. Vega, Second, doi:10.1000/p1, 2021.\n[3] C. Third, On tables and their many uses in storage.\n"
+
+
+def test_review_with_verdicts(spark):
+    from manuscript_spark.plans import registry
+
+    papers = spark.createDataFrame([(1, PAPER, "It rose 77%."), (2, None, None), (3, "\u0645\u0631\u062d\u0628\u0627", "x")], "doc_id long, text string, brief string")
+    reg = R.Registries(*registry._registries(spark, "/root/testdata/sf0.001"))
+    reg.crossref = reg.crossref.withColumn("abstract", F.lit("Volume did not change at all in any of the many runs that we made. " * 4))
+    full = spark.createDataFrame([("doi:10.1000/p6", 0, "Adaptive joins left the total volume as it was."), ("doi:10.1000/p6", 1, "Nothing else here.")], "id string, idx int, sentence string")
+    links = spark.createDataFrame([(1, "https://doi.org/10.1000/p2", "it", 20)], "doc_id long, href string, anchor_text string, offset int")
+    asked = R.requests(papers, registries=reg, sentences=full, links=links).collect()
+    assert {a.layer for a in asked} == {"overclaims", "contradictions", "methodology", "claim-source"} and all(a.tokens > 300 for a in asked)
+    evidence = {a.evidence for a in asked if a.layer == "claim-source"}
+    assert any(e.startswith("Adaptive joins left") for e in evidence) and any(e.startswith("Volume did not") for e in evidence)
+
+    def table(layer, make):
+        return spark.createDataFrame([(a.request_id, json.dumps(make(a))) for a in asked if a.layer == layer], "request_id string, payload string")
+
+    verdicts = R.Verdicts(
+        claims=table("claim-source", lambda a: {"verdict": "unsupported", "claim_quote": "adaptive joins reduce", "source_quote": "volume did not change"}),
+        contradictions=table("contradictions", lambda a: {"verdict": "same_quantity_conflict", "quote_a": "91.4% recall", "quote_b": "88.0% recall"}),
+        overclaims=table("overclaims", lambda a: {"verdict": "fair", "quote": "always returns every"}),
+        methodology=table("methodology", lambda a: {"gaps": [{"quote": "We ran the engine on many inputs", "reason": "no sizes"}]}),
+        sentences=full,
+    )
+    findings, runs = R.review(papers, registries=reg, verdicts=verdicts, links=links)
+    rows = findings.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.check, []).append(r)
+        assert r.message and "{" not in r.message and r.doc_id == 1
+    assert len(by["claim-unsupported"]) == 1 and by["claim-unsupported"][0].source_ref == "doi:10.1000/p1"  # the other evidence lacks the quote
+    assert by["methodology-gap"][0].decided_by == by["internal-contradiction"][0].decided_by == "verdict" and "overclaim" not in by
+    assert PAPER[by["methodology-gap"][0].span_start :].startswith("We ran the engine")
+    assert [r.quoted_span for r in by["citation-not-found"]] == ["10.1000/p2"] and by["summary-drift"][0].quoted_span == "77%"
+    state = {(r.doc_id, r.layer): (r.status, r.reason) for r in R.layers(papers, findings, registries=reg, verdicts=verdicts).collect()}
+    assert state[1, "claim-source"] == ("ran", None) and state[1, "terminology"] == ("inactive", "no glossary") and state[2, "references"] == ("abstained", "no reference section") and state[3, "floats"] == ("skipped", "language")
+    assert state[2, "methodology"] == ("abstained", "no methods or results section") and runs.count() == 3
+    bare, _ = R.review(papers)
+    assert {r.check for r in bare.collect()} >= {"overclaim", "internal-contradiction"}
