@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, fresh_path, map_texts
+from .shared import documents, fresh_path, map_texts, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -35,6 +35,8 @@ SEED = 42
 RADIUS = 3
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
+#: Variants that a task emits or compares, about; the number of tasks grows with the fingerprints.
+PER_TASK = 1 << 20
 BLOCKS = [((1 << (hi - lo)) - 1) << lo for lo, hi in ((0, 21), (21, 42), (42, 64))]
 ALL = (1 << 64) - 1
 
@@ -181,7 +183,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between the fingerprints of distinct (fp long, unique), enough to connect all
-    that are within three bits of each other."""
+    that are within three bits of each other. distinct should be a table: its rows are counted first, as a
+    task gets by how much it emits, not by the few bytes that it reads."""
     schema = pa.schema([("g", pa.int8()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +197,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                     [pa.array(np.tile(block, len(fps))), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, len(keep)).view(np.int64))], schema=schema
                 )
 
-    balls = distinct.select("fp").mapInArrow(emit, "g byte, key long, fp long")
-    return balls.repartition("g", "key").sortWithinPartitions("key", "g").mapInArrow(_links, "a long, b long")
+    tasks = max(1, -(-distinct.count() * len(variants()[0]) // PER_TASK))
+    balls = distinct.select("fp").repartition(tasks, "fp").mapInArrow(emit, "g byte, key long, fp long")
+    return balls.repartition(tasks, "g", "key").sortWithinPartitions("key", "g").mapInArrow(_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -208,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     path = fresh_path(spark, "fingerprints")
     fingerprints(docs, shingle).write.parquet(path)
     fp = spark.read.schema("doc_id long, fp long").parquet(path)
-    distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     comp = components(fingerprint_links(distinct.select("fp")))
     root = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))
