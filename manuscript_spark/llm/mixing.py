@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 from .shared import documents, packed, unpacked, written
 
 LEVELS = ("domain", "lang", "source")
-#: Buckets of the order within an epoch; only one bucket of a leaf is summed up row by row.
+#: Buckets of the order within an epoch; only one bucket of a leaf is summed up row by row, and that without its texts.
 BUCKETS = 4096
 #: Leaves that are broadcast, at most; with more, their table is joined by a shuffle, in which each leaf has
 #: as many copies as salts, so that the documents of a hot one go to many tasks.
@@ -102,8 +102,10 @@ def mix(docs: DataFrame, tokens: Column, total: float | None = None, share: floa
     own = [c for c in docs.columns if c not in ("__epoch", "__domain", "__n_tokens")]
     keys = list(LEVELS)
     row = {"domain": domain if domain is not None else default_domain(), "lang": F.col("lang"), "source": F.col("source"), "n": F.coalesce(tokens, F.lit(0)).cast("long"), "doc_id": F.col("doc_id")}
-    df = docs.select(packed(docs, own, "doc"), F.xxhash64("text").alias("tie"), *[c.alias(k) for k, c in row.items()])
-    narrow = docs.select(*[c.alias(k) for k, c in row.items()])
+    row["tie"] = F.xxhash64("text")
+    df = docs.select(packed(docs, own, "doc"), *[c.alias(k) for k, c in row.items()])
+    # all that is worked out about the epochs reads these narrow rows; the texts are read twice only, for them and for the result
+    narrow = written(docs.select(*[c.alias(k) for k, c in row.items()]), "mix-rows")
     leaves = written(narrow.groupBy(*keys).agg(F.sum("n").alias("n")), "mix-leaves")
     found = leaves.agg(F.count("*").alias("leaves"), F.sum("n").alias("n")).first()
     small = found.leaves <= BROADCAST_LEAVES
@@ -131,13 +133,22 @@ def mix(docs: DataFrame, tokens: Column, total: float | None = None, share: floa
     end = over.select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
     table = written(table.join(end, _same([f"p_{k}" for k in keys], [f"e_{k}" for k in keys]), "left").select(*table.columns, "end_bucket", "before"), "mix-ends")
 
-    df = with_leaf(df, table).withColumns({"order": order, "bucket": bucket})
-    sure = (F.col("rest") >= 0) & (F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")))
-    times = F.col("full") + F.when(sure, 1).otherwise(0)
+    # in that bucket, the last place that fits, and how many of the rows that share it do
+    place = F.struct(order.alias("order"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), "n", "tie")
+    last = with_leaf(narrow, table).where("rest >= 0").where(bucket == F.col("end_bucket")).select(*keys, "n", "rest", "before", place.alias("place"))
+    running = F.sum("n").over(W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    fits = last.withColumn("upto", running + F.col("before")).where("upto <= rest").groupBy(*keys, "place").agg(F.count("*").alias("copies"))
+    cut = fits.groupBy(*keys).agg(F.max(F.struct("place", "copies")).alias("cut")).select(*[F.col(k).alias(f"c_{k}") for k in keys], "cut.place", "cut.copies").withColumnRenamed("place", "cut")
+    table = written(table.join(cut, _same([f"p_{k}" for k in keys], [f"c_{k}" for k in keys]), "left").select(*table.columns, "cut", "copies"), "mix-cuts")
+
+    df = with_leaf(df, table).withColumns({"place": place, "bucket": bucket})
+    in_last = F.col("bucket") == F.col("end_bucket")
+    sure = F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")) | (in_last & F.coalesce(F.col("place") < F.col("cut"), F.lit(False)))
+    times = F.col("full") + F.when((F.col("rest") >= 0) & sure, 1).otherwise(0)
     whole = df.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    edge = df.where("rest >= 0 and bucket = end_bucket")
-    running = F.sum("n").over(W.partitionBy(*keys).orderBy("order", "doc_id", "n", "tie").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", running + F.col("before")).where("upto <= rest").withColumn("epoch", F.col("full"))
+    # rows at the cut: one for each leaf, unless rows repeat
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("place"))
+    edge = df.where((F.col("rest") >= 0) & in_last & (F.col("place") == F.col("cut"))).withColumn("nth", nth).where("nth <= copies").withColumn("epoch", F.col("full"))
     cols = [*unpacked(own, "doc"), F.col("epoch").cast("int").alias("__epoch"), F.col("domain").alias("__domain"), F.col("n").alias("__n_tokens")]
     return whole.select(*cols).unionByName(edge.select(*cols))
 

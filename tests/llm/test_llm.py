@@ -509,6 +509,16 @@ def test_mixing_edges(spark):
     assert mixing.mix(none(spark), mixing.n_words()).count() == 0
 
 
+def test_prefix_ends_within_repeated_rows(spark):
+    """Of rows that are the same in doc_id, text and so in their place, as many are taken as fit."""
+    rows = [(i, "a b c", "en", "src1", 5) for i in (1, 2, 2, 2, 2, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for total in range(0, 50):
+        got = mixing.mix(d, mixing.n_words(), total=float(total), epochs=2)
+        assert got.count() == min(total // 3, 16)
+        assert got.where("__epoch = 0").count() == min(total // 3, 8)
+
+
 # ---- quality ----
 
 
