@@ -19,8 +19,9 @@ from pyspark.sql.window import Window as W
 from .shared import documents, packed, unpacked, written
 
 LEVELS = ("domain", "lang", "source")
-#: Buckets of the order within an epoch; only one bucket of a leaf is summed up row by row, and that without its texts.
-BUCKETS = 4096
+#: Buckets of the order within an epoch are its first 12 bits: a leaf's window over buckets has at most 4,096 rows, and only
+#: one bucket of a leaf is summed up row by row, without its texts.
+BUCKET_BITS = 12
 #: Leaves that are broadcast, at most; with more, their table is joined by a shuffle, in which each leaf has
 #: as many copies as salts, so that the documents of a hot one go to many tasks.
 BROADCAST_LEAVES, SALTS = 50_000, 32
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, tokens: Column, total: float | None = None, share: floa
         return d.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("salt") == F.col("p_salt")), "left").drop("salt", "p_salt", *[f"p_{k}" for k in keys])
 
     order = F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"))
-    bucket = F.shiftrightunsigned(order, 52).cast("int")
+    bucket = F.shiftrightunsigned(order, 64 - BUCKET_BITS).cast("int")
     # the bucket of a leaf in which its last epoch ends, and what lies before it
     per = with_leaf(narrow, table).where("rest >= 0").groupBy(*keys, bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     upto = F.sum("n").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
@@ -137,19 +138,22 @@ def mix(docs: DataFrame, tokens: Column, total: float | None = None, share: floa
     place = F.struct(order.alias("order"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), "n", "tie")
     last = with_leaf(narrow, table).where("rest >= 0").where(bucket == F.col("end_bucket")).select(*keys, "n", "rest", "before", place.alias("place"))
     running = F.sum("n").over(W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    fits = last.withColumn("upto", running + F.col("before")).where("upto <= rest").groupBy(*keys, "place").agg(F.count("*").alias("copies"))
-    cut = fits.groupBy(*keys).agg(F.max(F.struct("place", "copies")).alias("cut")).select(*[F.col(k).alias(f"c_{k}") for k in keys], "cut.place", "cut.copies").withColumnRenamed("place", "cut")
-    table = written(table.join(cut, _same([f"p_{k}" for k in keys], [f"c_{k}" for k in keys]), "left").select(*table.columns, "cut", "copies"), "mix-cuts")
+    fits = last.withColumn("upto", running + F.col("before")).groupBy(*keys, "place").agg(F.count_if(F.col("upto") <= F.col("rest")).alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    ends = fits.groupBy(*keys).agg(F.max(F.struct("place", "copies", "rows")).alias("last"))
+    cut = ends.select(*[F.col(k).alias(f"c_{k}") for k in keys], F.col("last.place").alias("cut"), F.col("last.copies").alias("copies"), (F.col("last.copies") < F.col("last.rows")).alias("parted"))
+    table = written(table.join(cut, _same([f"p_{k}" for k in keys], [f"c_{k}" for k in keys]), "left").select(*table.columns, "cut", "copies", "parted"), "mix-cuts")
 
     df = with_leaf(df, table).withColumns({"place": place, "bucket": bucket})
     in_last = F.col("bucket") == F.col("end_bucket")
-    sure = F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")) | (in_last & F.coalesce(F.col("place") < F.col("cut"), F.lit(False)))
+    sure = F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")) | (in_last & F.coalesce((F.col("place") < F.col("cut")) | ((F.col("place") == F.col("cut")) & ~F.col("parted")), F.lit(False)))
     times = F.col("full") + F.when((F.col("rest") >= 0) & sure, 1).otherwise(0)
     whole = df.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    # rows at the cut: one for each leaf, unless rows repeat
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy("place"))
-    edge = df.where((F.col("rest") >= 0) & in_last & (F.col("place") == F.col("cut"))).withColumn("nth", nth).where("nth <= copies").withColumn("epoch", F.col("full"))
     cols = [*unpacked(own, "doc"), F.col("epoch").cast("int").alias("__epoch"), F.col("domain").alias("__domain"), F.col("n").alias("__n_tokens")]
+    if table.where("parted").isEmpty():
+        return whole.select(*cols)
+    # a cut that parts rows of the same doc_id and text
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("place"))
+    edge = df.where(F.col("parted") & in_last & (F.col("place") == F.col("cut"))).withColumn("nth", nth).where("nth <= copies").withColumn("epoch", F.col("full"))
     return whole.select(*cols).unionByName(edge.select(*cols))
 
 
