@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import adjudicate, citations, glossary, report, structure
+from ..sources import files, pdf, sinks
 from . import manuscripts as M
 
 QUERIES: dict = {}
@@ -234,3 +235,30 @@ def run_ids(spark, d):
 @query("SELECT doc_id, (ceil(length(coalesce(text, '')) / 3.4) + 300)::bigint AS tokens FROM documents")
 def token_costs(spark, d):
     return M.table(spark, d, "documents").select("doc_id", T.token_estimate(F.length(F.coalesce("text", F.lit("")))).alias("tokens"))
+
+
+# ---- files ----
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _there_and_back(spark, d, form: str):
+    """(doc_id, blocks, digest of the text) of conversations written as files of a form and read again, a paragraph a turn."""
+    turns = _turns(spark, d)
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    made = sinks.documents_as(turns.withColumn("text", escaped), form)
+    back = (pdf.pdf_blocks if form == "pdf" else files.docx_blocks)(made, "doc_id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), " ")
+    return back.where("type = 'paragraph'").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.md5(text).alias("digest"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace({_ESCAPED.format('text')}, '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT conv_id AS doc_id, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM t WHERE text <> '' GROUP BY 1""")
+def pdf_there_and_back(spark, d):
+    return _there_and_back(spark, d, "pdf").select("doc_id", "digest")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace({_ESCAPED.format('text')}, '^\s+|\s+$', '', 'g') AS text FROM conversations)
+SELECT conv_id AS doc_id, count(*) AS blocks, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM t WHERE text <> '' GROUP BY 1""")
+def docx_there_and_back(spark, d):
+    return _there_and_back(spark, d, "docx")

@@ -6,8 +6,10 @@ import base64
 import io
 import re
 import struct
+import unicodedata
 import zipfile
 import zlib
+from functools import cache
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -166,42 +168,69 @@ def docx(blocks: list[dict]) -> bytes:
     return out.getvalue()
 
 
-def text_width(text: str, size: float, mono: bool = False) -> float:
-    """An estimate of a Helvetica line's width: by classes of letters."""
+# Widths of codes 32 to 126 in thousandths of the size, regular and bold, as the fonts' public metrics have them.
+HELVETICA = (278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584)
+HELVETICA_BOLD = (278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611, 975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556, 333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584)
+# Widths of the other signs of the code page, regular; accented letters are as wide as their base letter.
+SIGNS = {1000: "\u2026\u2030\u0152\u2014\u2122\u00c6", 944: "\u0153", 889: "\u00e6", 834: "\u00bc\u00bd\u00be", 737: "\u00a9\u00ae", 611: "\u00bf\u00df\u00f8", 584: "\u00ac\u00b1\u00d7\u00f7", 537: "\u00b6", 400: "\u00b0", 370: "\u00aa", 365: "\u00ba", 350: "\u2022", 333: "\u201e\u02c6\u2039\u201c\u201d\u02dc\u203a\u00a1\u00a8\u00ad\u00af\u00b2\u00b3\u00b4\u00b8\u00b9", 278: "\u00a0\u00b7", 260: "\u00a6", 222: "\u201a\u2018\u2019", 778: "\u00d8", 722: "\u00d0", 667: "\u00de"}
+SIGN_WIDTH = {c: w for w, signs in SIGNS.items() for c in signs}
+#: Of signs that nothing above has; signs in bold are taken to be a tenth wider.
+OTHER_WIDTH, BOLD_SIGN = 556, 1.1
+
+
+@cache
+def advance(char: str, bold: bool = False) -> float:
+    """A character's width in thousandths of the size."""
+    table = HELVETICA_BOLD if bold else HELVETICA
+    base = unicodedata.normalize("NFD", char)[:1] if char not in SIGN_WIDTH else char
+    if " " <= base <= "~":
+        return table[ord(base) - 32]
+    return SIGN_WIDTH.get(char, OTHER_WIDTH) * (BOLD_SIGN if bold else 1)
+
+
+def text_width(text: str, size: float, mono: bool = False, bold: bool = False) -> float:
+    """The width of a line of Helvetica, or of Courier."""
     if mono:
         return 0.6 * size * len(text)
-    return size * sum(0.28 if c in " .,:;ijl'|!()[]" else 0.83 if c in "mwMW@%" else 0.68 if c.isupper() else 0.55 for c in text)
+    return sum(advance(c, bold) for c in text) * size / 1000
 
 
-def wrapped(text: str, size: float, width: float, mono: bool = False) -> list[str]:
+def wrapped(text: str, size: float, width: float, mono: bool = False, bold: bool = False) -> list[str]:
     """Words in lines that fit; a word wider than a line is broken."""
-    lines = [""]
+    lines, used, blank = [""], 0.0, text_width(" ", size, mono, bold)
     for word in text.split():
-        while text_width(word, size, mono) > width and len(word) > 1:
-            cut = next((k for k in range(len(word) - 1, 0, -1) if text_width(word[:k], size, mono) <= width), 1)
+        wide = text_width(word, size, mono, bold)
+        while wide > width and len(word) > 1:
+            cut, taken = 1, text_width(word[0], size, mono, bold)
+            while cut < len(word) and (more := taken + text_width(word[cut], size, mono, bold)) <= width:
+                cut, taken = cut + 1, more
             if lines[-1]:
                 lines.append("")
             lines[-1], word = word[:cut], word[cut:]
             lines.append("")
-        joined = f"{lines[-1]} {word}".strip()
-        if text_width(joined, size, mono) <= width or not lines[-1]:
-            lines[-1] = joined
+            wide, used = text_width(word, size, mono, bold), 0.0
+        if not word:
+            continue
+        if not lines[-1]:
+            lines[-1], used = word, wide
+        elif used + blank + wide <= width:
+            lines[-1] += " " + word
+            used += blank + wide
         else:
             lines.append(word)
+            used = wide
     return [x for x in lines if x]
 
 
 def single_byte(text: str) -> bytes:
     """Text in the single-byte code page of PDF's standard fonts; what it lacks is spelled out or becomes a question mark."""
-    import unicodedata
-
     return "".join(c if c.encode("cp1252", "ignore") else unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() or "?" for c in text).encode("cp1252", "replace")
 
 
 def column_widths(rows: list[list[str]], size: float, total: float) -> list[float]:
     """Natural widths if they fit, else a least width each and the rest in proportion."""
     wide = max(map(len, rows), default=0)
-    natural = [max((text_width(r[k], size) for r in rows if k < len(r)), default=0) + 8 for k in range(wide)]
+    natural = [max((text_width(r[k], size, bold=not n) for n, r in enumerate(rows) if k < len(r)), default=0) + 8 for k in range(wide)]
     if sum(natural) <= total:
         return natural
     least = min(36.0, total / max(1, wide))
@@ -226,7 +255,7 @@ def pdf(blocks: list[dict], title: str = "") -> bytes:
 
     def write(text: str, size: float, font: str = "F1", indent: float = 0, keep: float = 0) -> None:
         nonlocal y
-        lines = wrapped(text, size, width - indent, font == "F3")
+        lines = wrapped(text, size, width - indent, font == "F3", font == "F2")
         if y - len(lines[:2]) * size * 1.3 - keep < MARGIN and pages[-1]:
             turn()
         for line in lines:
@@ -251,7 +280,7 @@ def pdf(blocks: list[dict], title: str = "") -> bytes:
             rows = [[plain(c or "") for c in r] for r in b.get("rows") or ()]
             widths = column_widths(rows, 10, width)
             for n, r in enumerate(rows):
-                cells = [wrapped(c, 10, max(8.0, w - 8)) for c, w in zip(r, widths)]
+                cells = [wrapped(c, 10, max(8.0, w - 8), bold=not n) for c, w in zip(r, widths)]
                 height = 13 * max([1, *map(len, cells)])
                 if y - height < MARGIN and pages[-1]:
                     turn()
