@@ -252,13 +252,13 @@ def _there_and_back(spark, d, form: str):
     return back.where("type = 'paragraph'").groupBy("doc_id").agg(F.count("*").alias("blocks"), F.md5(text).alias("digest"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace({_ESCAPED.format('text')}, '\s+', ' ', 'g')) AS text FROM conversations)
+@query(f"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace({_ESCAPED.format('text')}, '\\s+', ' ', 'g')) AS text FROM conversations)
 SELECT conv_id AS doc_id, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM t WHERE text <> '' GROUP BY 1""")
 def pdf_there_and_back(spark, d):
     return _there_and_back(spark, d, "pdf").select("doc_id", "digest")
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace({_ESCAPED.format('text')}, '^\s+|\s+$', '', 'g') AS text FROM conversations)
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace({_ESCAPED.format('text')}, '^\\s+|\\s+$', '', 'g') AS text FROM conversations)
 SELECT conv_id AS doc_id, count(*) AS blocks, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM t WHERE text <> '' GROUP BY 1""")
 def docx_there_and_back(spark, d):
     return _there_and_back(spark, d, "docx")
