@@ -38,6 +38,8 @@ class Config:
     threshold: float = glossary.THRESHOLD
     overclaim_cap: int = claims.OVERCLAIM_CAP
     views: bool = False
+    #: Whether verdicts count; if not, nothing is asked and verdict tables are left alone.
+    judged: bool = True
 
 
 def _overclaims(text: DataFrame, config: Config) -> DataFrame:
@@ -55,7 +57,7 @@ def _methodology(text: DataFrame) -> DataFrame:
 
 def requests(documents: DataFrame, config: Config | None = None, registries: Registries | None = None, links: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
     """(request_id, layer, doc_id, subject, evidence, tokens): what a judge is to be asked about documents, layer by layer.
-    Verdicts come back under the request_id."""
+    Verdicts come back under the request_id. Nothing is asked if the config switches judging off."""
     config = config or Config()
     text = documents.where(report.language("text") == "en").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     none = F.lit(None).cast("string")
@@ -72,7 +74,7 @@ def requests(documents: DataFrame, config: Config | None = None, registries: Reg
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out if config.judged else out.where("false")
 
 
 def _resolved(ids: DataFrame, r: Registries) -> DataFrame:
@@ -89,7 +91,8 @@ def review(documents: DataFrame, config: Config | None = None, terms: DataFrame
     that a verdict with quotes from the document confirms are, decided by verdict. Documents in
     another language than English are skipped. With `views` both are temp views, findings and runs.
     """
-    config, verdicts = config or Config(), verdicts or Verdicts()
+    config = config or Config()
+    verdicts = verdicts if verdicts is not None and config.judged else Verdicts()
     docs = documents.where(report.language("text") == "en").withColumn("text", F.coalesce("text", F.lit("")))
     text = docs.select("doc_id", "text")
     parts = []
@@ -138,12 +141,12 @@ def review(documents: DataFrame, config: Config | None = None, terms: DataFrame
     return findings, runs
 
 
-def given(documents: DataFrame, terms: DataFrame | None = None, registries: Registries | None = None, verdicts: Verdicts | None = None) -> report.Inputs:
+def given(documents: DataFrame, terms: DataFrame | None = None, registries: Registries | None = None, verdicts: Verdicts | None = None, config: Config | None = None) -> report.Inputs:
     """What a review gets, for the states of its layers."""
-    v = verdicts or Verdicts()
+    v = verdicts if verdicts is not None and (config or Config()).judged else Verdicts()
     return report.Inputs(terms is not None, registries is not None, "brief" in documents.columns, registries is not None and v.claims is not None, v.methodology is not None)
 
 
-def layers(documents: DataFrame, findings: DataFrame, terms: DataFrame | None = None, registries: Registries | None = None, verdicts: Verdicts | None = None) -> DataFrame:
+def layers(documents: DataFrame, findings: DataFrame, terms: DataFrame | None = None, registries: Registries | None = None, verdicts: Verdicts | None = None, config: Config | None = None) -> DataFrame:
     """The state of each layer of each document in a review with the same inputs, and why a layer is silent."""
-    return report.layer_breakdown(documents.select("doc_id", "text"), findings, given(documents, terms, registries, verdicts))
+    return report.layer_breakdown(documents.select("doc_id", "text"), findings, given(documents, terms, registries, verdicts, config))

@@ -210,3 +210,40 @@ def test_review_with_verdicts(spark):
     assert state[2, "methodology"] == ("abstained", "no methods or results section") and runs.count() == 3
     bare, _ = R.review(papers)
     assert {r.check for r in bare.collect()} >= {"overclaim", "internal-contradiction"}
+
+
+def test_a_judge_is_asked(spark):
+    from manuscript_spark.operators import adjudicate
+
+    def connect():
+        calls = {}
+
+        def ask(layer, subject, evidence):
+            n = calls[subject] = calls.get(subject, 0) + 1
+            if subject == "never" or (subject == "later" and n == 1):
+                raise adjudicate.Refused(1)
+            if subject == "broken":
+                raise OSError("no line")
+            return json.dumps({"verdict": layer, "quote": evidence or ""})
+
+        return ask
+
+    rows = [("1", "overclaims", "now", None), ("2", "overclaims", "later", "seen"), ("3", "methodology", "never", None), ("4", "overclaims", "broken", None)]
+    requests = spark.createDataFrame(rows, "request_id string, layer string, subject string, evidence string")
+    got = {r.request_id: (r.payload and json.loads(r.payload), r.calls) for r in adjudicate.answered(requests, connect).collect()}
+    assert got == {"1": ({"verdict": "overclaims", "quote": ""}, 1), "2": ({"verdict": "overclaims", "quote": "seen"}, 2), "3": (None, 3), "4": (None, 1)}
+    assert adjudicate.answered(requests.where("false"), connect).count() == 0
+
+
+def test_judging_can_be_switched_off(spark):
+    papers = spark.createDataFrame([(1, PAPER)], "doc_id long, text string")
+    off = R.Config(judged=False)
+    assert R.requests(papers, off).count() == 0
+    none = spark.createDataFrame([], "request_id string, payload string")
+    verdicts = R.Verdicts(overclaims=none, contradictions=none, methodology=none)
+    on, _ = R.review(papers, verdicts=verdicts)
+    silent, _ = R.review(papers, off, verdicts=verdicts)
+    assert not {"overclaim", "internal-contradiction"} & {r.check for r in on.collect()}
+    assert {r.decided_by for r in silent.collect()} == {"rule"} and {"overclaim", "internal-contradiction"} <= {r.check for r in silent.collect()}
+    state = {r.layer: r.reason for r in R.layers(papers, silent, verdicts=verdicts, config=off).collect()}
+    assert state["methodology"] == "no verdicts"
