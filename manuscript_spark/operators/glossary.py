@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.spans import greedy_cover, matches, one_row
-from ..functions.text import MATCH_STOP, fold, jaccard, tokens_of_folded
+from ..functions.text import MATCH_STOP, fold, fold_one, jaccard, tokens_of_folded
 
 THRESHOLD = 0.75
 #: Glossaries with more index rows than this are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 200_000
+STOP = frozenset(MATCH_STOP)
+TOKEN = re.compile("[A-Za-z0-9]+")
 
 
 def terms(raw: DataFrame) -> DataFrame:
@@ -67,10 +74,119 @@ def in_order(window: Column, candidate: Column) -> Column:
     return at == F.array_sort(at)
 
 
+class Searcher:
+    """The index in memory, for one document at a time; gives what `_by_shuffle` gives. accepted: right keys; names: (slug,
+    name_key, tokens); most, longest: the most tokens of a name, and of a name or right key."""
+
+    def __init__(self, accepted: set[str], names: list[tuple[str, str, list[str]]], most: int, longest: int, threshold: float):
+        self.accepted, self.most, self.longest, self.threshold = accepted, most, longest, threshold
+        self.names = [(slug, tokens, {t: i for i, t in reversed(list(enumerate(tokens)))}, self.content(tokens)) for slug, _, tokens in names]
+        self.of_token: dict[str, list[int]] = {}
+        for i, (_, _, first, _) in enumerate(self.names):
+            for t in first:
+                self.of_token.setdefault(t, []).append(i)
+        self.words = {w for key in accepted for w in key.split(" ")}
+
+    @staticmethod
+    def content(tokens: list[str]) -> set[str]:
+        return set([t for t in tokens if t not in STOP] or tokens)
+
+    def best(self, phrase: list[str]) -> tuple[str, float] | None:
+        """The one term that a phrase is nearest to, if near enough and in its order."""
+        own = self.content(phrase)
+        top, at = -1.0, []
+        for i in {i for t in phrase for i in self.of_token.get(t, ())}:
+            slug, tokens, first, content = self.names[i]
+            if abs(len(tokens) - len(phrase)) <= 1:
+                similarity = len(own & content) / len(own | content)
+                if similarity > top:
+                    top, at = similarity, [i]
+                elif similarity == top:
+                    at.append(i)
+        if not at or not self.threshold <= top < 1 or len({self.names[i][0] for i in at}) != 1:
+            return None
+        for i in at:
+            places = [self.names[i][2][t] for t in phrase if t in self.names[i][2]]
+            if places == sorted(places):
+                return self.names[i][0], top
+        return None
+
+    def search(self, text: str) -> list[tuple[str, int, int, str, float]]:
+        """(slug, start, end, quoted, similarity) in order of place."""
+        spans = [m.span() for m in TOKEN.finditer(text)] if text.isascii() else _token_spans(text)
+        norm = [fold_one(text[a:b]) for a, b in spans]
+        if not any(w in self.words or w in self.of_token for w in norm):
+            return []
+        par = [a > 0 and text[a - 1] == "(" and text[b : b + 1] == ")" for a, b in spans]
+        total = len(norm)
+        right, maybe = [], []
+        for i in range(total):
+            phrase: list[str] = []
+            for n in range(1, min(self.longest + 1, total - i) + 1):
+                if not par[i + n - 1]:
+                    phrase = [*phrase, norm[i + n - 1]]
+                key = " ".join(phrase)
+                if not key:
+                    continue
+                if key in self.accepted:
+                    if n <= self.longest:
+                        right.append((-n, i))
+                elif 2 <= n <= self.most + 1 and len(phrase) >= 2 and phrase[0] not in STOP and phrase[-1] not in STOP:
+                    maybe.append((i, n, phrase))
+        taken = bytearray(total)  # right forms, the longest first, none over another
+        for less, i in sorted(right):
+            if not any(taken[i : i - less]):
+                taken[i : i - less] = b"\1" * -less
+        short: dict[tuple[str, int], tuple[int, float, int, str]] = {}
+        for i, n, phrase in maybe:
+            if not any(taken[i : i + n]) and (found := self.best(phrase)):
+                slug, similarity = found
+                start, end = spans[i][0], spans[i + n - 1][1]
+                if (slug, start) not in short or n < short[slug, start][0]:
+                    short[slug, start] = (n, similarity, end, slug)
+        out, upto = [], 0
+        for start, less, _, end, slug in sorted((start, -similarity, n, end, slug) for (_, start), (n, similarity, end, slug) in short.items()):
+            if start >= upto:  # in order of start, so an overlap is one with the last kept
+                out.append((slug, start, end, text[start:end], -less))
+                upto = end
+        return out
+
+
+def _token_spans(text: str) -> list[tuple[int, int]]:
+    """Runs of letters, digits and marks."""
+    kinds = "".join("x" if unicodedata.category(c)[0] in "LNM" else " " for c in text)
+    return [m.span() for m in TOKEN.finditer(kinds)]
+
+
+def _by_document(docs: DataFrame, accepted: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """An index within BROADCAST_ROWS is held by each task, so that a document is searched where it is read, without a shuffle."""
+    keys = {r.key for r in accepted.select("key").collect()}
+    rows = names.select("slug", "name_key", "tokens").distinct().collect()
+    most = max((len(r.tokens) for r in rows), default=0)
+    longest = max([most, *(len(k.split(" ")) for k in keys)])
+    index_ = docs.sparkSession.sparkContext.broadcast((keys, [(r.slug, r.name_key, list(r.tokens)) for r in rows], most, longest, threshold))
+
+    @F.pandas_udf("array<struct<slug:string,start:int,end:int,quoted:string,similarity:double>>")
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        searcher = Searcher(*index_.value)
+        for part in parts:
+            yield pd.Series([[dict(zip(("slug", "start", "end", "quoted", "similarity"), x)) for x in searcher.search(t)] if t else [] for t in part], dtype=object)
+
+    x = docs.select("doc_id", F.explode(search("text")).alias("x"))
+    return x.select("doc_id", "x.slug", "x.start", "x.end", "x.quoted", F.round("x.similarity", 4).alias("similarity"))
+
+
 def near_misses(docs: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, slug, start, end, quoted, similarity): spans that nearly are a term, one term and no other."""
     accepted, names = index(terms)
     size = names.count()
+    if size <= BROADCAST_ROWS and accepted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return _by_document(docs, accepted, names, threshold)
+    return _by_shuffle(docs, accepted, names, size, threshold)
+
+
+def _by_shuffle(docs: DataFrame, accepted: DataFrame, names: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Windows of all documents as rows that are joined to the index, whatever its size."""
     hint = F.broadcast if size <= BROADCAST_ROWS else (lambda d: d)
     most = names.agg(F.max(F.size("tokens"))).first()[0] or 0
     longest = max(most, accepted.agg(F.max("n_tokens")).first()[0] or 0)

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 from hypothesis import given, settings
@@ -146,7 +147,8 @@ def test_jsonl_skips_blank_lines(spark, tmp_path):
 
 
 def test_contradictions_by_plain_loops(spark):
-    
+    import random
+
     r = random.Random(5)
     docs_ = [(i, " ".join(f"Run {r.randint(0, 3)} came to {r.choice(['50', '50.4', '50.6', '61', '72.5'])}% {r.choice(['recall', 'precision'])} over all that was made ready for it in the whole of the last year by us." for _ in range(r.randint(0, 14)))) for i in range(12)]
     from manuscript_spark.operators import claims
@@ -273,3 +275,26 @@ def test_headings_with_odd_ends(spark):
     lines = ["References", " 2.1 Results:. ", "References\u0085", "References.\u0085", "References\u0085.", "IV. Related Work", "xReferences", "Methods of x", "REFERENCES\u00a0", "A. " + " " * 90 + "Methods"]
     got = [r.k for r in docs(spark, *lines).orderBy("doc_id").select(structure.heading_kind(structure.trimmed(F.col("text"))).alias("k")).collect()]
     assert got == ["references", "results", "references", "references", "references", "intro", None, None, "references", None]
+
+
+def test_glossary_by_document_equals_by_shuffle(spark, monkeypatch):
+    from manuscript_spark.operators import glossary
+    from manuscript_spark.plans import registry
+
+    raw = [("dag-scheduler", "Directed Acyclic Graph Scheduler (DAGS)", "d", ["graph planner"], None), ("merge-table", "Sorted Merge Join Table", "m", None, None), ("merge-list", "Sorted Merge Join List", "m", None, None), ("cafe", "Caf\u00e9 of the Large Rows", "c", None, None), ("rr", "round by round robin", "r", None, None)]
+    terms = glossary.terms(spark.createDataFrame(raw, "slug string, term string, definition string, variants array<string>, single_word_allowed boolean"))
+    words = "directed acyclic graph scheduler schedulers dags (DAGS) sorted merge join table tables list of the caf\u00e9 cafe\u0301 CAFE large rows round by robin planner \u03a3\u03a3 x".split()
+    rng = random.Random(1)
+    parts = ["directed acyclic graph scheduler", "graph planner", "sorted merge join table", "sorted merge join lists", "cafe\u0301 of the large rows", "round by round robin", "(DAGS)"]
+    # terms with words left out, put in and out of order
+    pick = lambda p: [w for x in p.split(" ") if rng.random() < 0.8 for w in ([x, rng.choice(words)] if rng.random() < 0.15 else [x])]
+    texts = [" ".join(w for _ in range(8) for w in pick(rng.choice(parts))) for _ in range(60)]
+    texts += ["The directed graph scheduler, the directed acyclic (fast) graph scheduler. A sorted merge join.", "", None, "(", "the sorted merge table of the caf\u00e9 of large rows"]
+    d = docs(spark, *texts)
+    got = _rows(glossary.near_misses(d, terms))
+    monkeypatch.setattr(glossary, "BROADCAST_ROWS", 0)
+    assert got == _rows(glossary.near_misses(d, terms)) and len(got) > 20
+    monkeypatch.undo()
+    # only the making of the papers and the count of findings shuffle
+    plan = registry.QUERIES["near_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2
