@@ -697,3 +697,13 @@ def test_query_equals_sql(name, same):
 
 def test_all_operators_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    assert not hasattr(quality, "MAX_LABELLED")
+    dealt = []
+    monkeypatch.setattr(quality, "_grown", lambda good, n: dealt.append((good.count(), n)) or quality.Forest.grow(np.array([r.stats for r in good.limit(50).collect()])))
+    texts = [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(13000)]
+    d = docs(spark, texts)
+    quality.learn(d, spark.createDataFrame([(i, 1) for i in range(13000)], "doc_id long, quality int"))
+    assert dealt == [(13000, 13000)]
